@@ -1,4 +1,591 @@
-"""The registered queries of the geographic engine and their DuckDB twins."""
+"""The registered queries of the geographic engine over the driver's tables, and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointlens.functions import columns as C
+from pointlens.functions import states as S
+from pointlens.operators import curves, density, geometry, pixels, sampling, scope, statistics, topology
+from pointlens.operators.fps import fps_order
+from pointlens.operators.pixels import Viewport
+from pointlens.plans import baselines
+from pointlens.sources.points import frame_signature, trim_sample
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# Point views over the tables -------------------------------------------------------------------------------------------
+
+
+def _formula(df: DataFrame, key: str, state: Column, county: Column) -> DataFrame:
+    k = F.col(key)
+    lat = (F.lit(24000) + (k * k * 7919 + k * 31) % 25801).cast("double") / 1000
+    lng = ((k * k * 104729 + k * 17) % 59001 - 125000).cast("double") / 1000
+    return df.select(k.cast("string").alias("id"), lat.alias("lat"), lng.alias("lng"), state.alias("state"), county.alias("county"), k.alias("row_pos"))
+
+
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _formula(events, "event_id", F.col("event_type"), (F.col("user_id") % 10).cast("string"))
+
+
+def vector_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return v.select(
+        F.col("vec_id").cast("string").alias("id"), at(0).alias("lat"), at(1).alias("lng"), F.col("label").cast("string").alias("state"),
+        (F.col("vec_id") % 4).cast("string").alias("county"), F.col("vec_id").alias("row_pos"),
+    )
+
+
+def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return _formula(customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey), "c_custkey", F.col("n_name"), F.col("c_mktsegment"))  # nation has 25 rows
+
+
+def _view(name: str) -> str:
+    """DuckDB: a point view as a common table expression called p."""
+    formula = """CAST(24000 + ({k} * {k} * 7919 + {k} * 31) % 25801 AS DOUBLE) / 1000 AS lat,
+       CAST(({k} * {k} * 104729 + {k} * 17) % 59001 - 125000 AS DOUBLE) / 1000 AS lng"""
+    views = {
+        "events": f"SELECT CAST(event_id AS VARCHAR) AS id, {formula.format(k='event_id')}, event_type AS state, CAST(user_id % 10 AS VARCHAR) AS county, event_id AS row_pos FROM events",
+        "vectors": "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding[1] AS DOUBLE) AS lat, CAST(embedding[2] AS DOUBLE) AS lng, CAST(label AS VARCHAR) AS state, CAST(vec_id % 4 AS VARCHAR) AS county, vec_id AS row_pos FROM embeddings",
+        "customers": f"SELECT CAST(c_custkey AS VARCHAR) AS id, {formula.format(k='c_custkey')}, n_name AS state, c_mktsegment AS county, c_custkey AS row_pos FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    }
+    return f"p AS ({views[name]})"
+
+
+# Scopes, counts, labels ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_view('events')} SELECT * FROM p")
+def scope_country(spark, sf_dir):
+    return trim_sample(scope.in_scope(event_points(spark, sf_dir), scope.Scope()))
+
+
+@query(f"WITH {_view('events')} SELECT * FROM p WHERE state = 'click'")
+def scope_state(spark, sf_dir):
+    return trim_sample(scope.in_scope(event_points(spark, sf_dir), scope.Scope("state", "click")))
+
+
+@query(f"WITH {_view('customers')} SELECT * FROM p WHERE state = 'FRANCE' AND county = 'BUILDING'")
+def scope_county(spark, sf_dir):
+    return trim_sample(scope.in_scope(customer_points(spark, sf_dir), scope.Scope("county", "FRANCE", "BUILDING")))
+
+
+@query(f"WITH {_view('events')} SELECT DISTINCT state FROM p WHERE state IS NOT NULL")
+def available_states(spark, sf_dir):
+    return scope.states(event_points(spark, sf_dir))
+
+
+@query(f"""WITH {_view('events')} SELECT 'country' AS zoom, '' AS state, '' AS county UNION ALL SELECT DISTINCT 'state', state, '' FROM p
+UNION ALL SELECT DISTINCT 'county', state, county FROM p""")
+def all_scopes(spark, sf_dir):
+    return scope.all_scopes(event_points(spark, sf_dir))
+
+
+@query(f"WITH {_view('events')} SELECT state, county, count(*) FILTER (row_pos % 7 <> 0) AS exact_count, count(*) AS all_count FROM p GROUP BY state, county")
+def exact_counts(spark, sf_dir):
+    holed = event_points(spark, sf_dir).withColumn("lat", F.when(F.col("row_pos") % 7 != 0, F.col("lat")))
+    return scope.counts(holed, "state", "county")
+
+
+_LABELS = """, c AS (SELECT state, county, avg(lat) AS lat, avg(lng) AS lng, count(id) AS n FROM p GROUP BY state, county),
+r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY n DESC, county) AS rank FROM c WHERE n >= 2)
+SELECT state, county, round(lat, 6) AS lat, round(lng, 6) AS lng, n, rank FROM r WHERE rank <= 160"""
+
+
+@query(f"WITH {_view('events')}{_LABELS}")
+def county_labels(spark, sf_dir):
+    return scope.county_labels(event_points(spark, sf_dir)).withColumns({"lat": r6("lat"), "lng": r6("lng")})
+
+
+@query(f"WITH {_view('customers')}{_LABELS}")
+def county_labels_customers(spark, sf_dir):
+    return scope.county_labels(customer_points(spark, sf_dir)).withColumns({"lat": r6("lat"), "lng": r6("lng")})
+
+
+@query(f"WITH {_view('customers')} SELECT state, string_agg(DISTINCT county, ',' ORDER BY county) AS counties FROM p GROUP BY state")
+def coverage(spark, sf_dir):
+    kept = scope.all_scopes(customer_points(spark, sf_dir))
+    return scope.coverage(kept).withColumn("counties", F.array_join("counties", ","))
+
+
+@query(f"""WITH {_view('events')}, s AS (SELECT 'country' AS zoom, '' AS state, '' AS county UNION ALL SELECT DISTINCT 'state', state, '' FROM p
+UNION ALL SELECT DISTINCT 'county', state, county FROM p) SELECT *, zoom = 'county' AND county < '5' AS available FROM s""")
+def coverage_status(spark, sf_dir):
+    found = scope.all_scopes(event_points(spark, sf_dir))
+    return scope.coverage_status(found, found.where("zoom = 'county' AND county < '5'"))
+
+
+@query(f"WITH {_view('events')} SELECT state, count(*) AS n_rows, arg_min(id, row_pos) AS first_id, arg_max(id, row_pos) AS last_id FROM p GROUP BY state")
+def frame_signatures(spark, sf_dir):
+    return frame_signature(event_points(spark, sf_dir), "state").drop("content_hash")
+
+
+# Statistics and density ------------------------------------------------------------------------------------------------
+
+_SUMMARY = "round(avg(lat), 6) AS mean_lat, round(avg(lng), 6) AS mean_lng, round(stddev_pop(lat), 6) AS std_lat, round(stddev_pop(lng), 6) AS std_lng, round(CASE WHEN count(*) >= 2 THEN corr(lat, lng) END, 6) AS correlation, count(*) AS n"
+_ERRORS = ", ".join(f"round(abs(a.{m} - b.{m}), 5) AS error_{m}" for m in statistics.MEASURES)
+_RAW = "avg(lat) AS mean_lat, avg(lng) AS mean_lng, stddev_pop(lat) AS std_lat, stddev_pop(lng) AS std_lng, CASE WHEN count(*) >= 2 THEN corr(lat, lng) END AS correlation, count(*) AS n"
+
+
+def _errors(compared: DataFrame, *by: str) -> DataFrame:
+    return compared.select(*by, "n_exact", "n_displayed", *[F.round(f"error_{m}", 5).alias(f"error_{m}") for m in statistics.MEASURES])
+
+
+@query(f"WITH {_view('events')} SELECT state, {_SUMMARY} FROM p GROUP BY state")
+def stat_summary(spark, sf_dir):
+    found = statistics.summary(event_points(spark, sf_dir), "state")
+    return found.withColumns({m: r6(m) for m in statistics.MEASURES})
+
+
+@query(f"""WITH {_view('events')}, a AS (SELECT state, {_RAW} FROM p GROUP BY state), b AS (SELECT state, {_RAW} FROM p WHERE row_pos % 10 = 0 GROUP BY state)
+SELECT a.state, a.n AS n_exact, coalesce(b.n, 0) AS n_displayed, {_ERRORS} FROM a LEFT JOIN b USING (state)""")
+def stat_compare(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    return _errors(statistics.compare(points, points.where("row_pos % 10 = 0"), "state"), "state")
+
+
+@query(f"""WITH {_view('events')}, a AS (SELECT state, {_RAW} FROM p GROUP BY state), b AS (SELECT state, {_RAW} FROM p WHERE row_pos % 10 = 0 GROUP BY state),
+e AS (SELECT a.state, {', '.join(f"abs(a.{m} - b.{m}) AS {m}" for m in statistics.MEASURES)} FROM a JOIN b USING (state)),
+l AS (UNPIVOT e ON {', '.join(statistics.MEASURES)} INTO NAME measure VALUE difference)
+SELECT state, arg_max(measure, difference) AS largest, round(max(difference), 5) AS largest_difference, arg_min(measure, difference) AS smallest, round(min(difference), 5) AS smallest_difference FROM l GROUP BY state""")
+def stat_rank(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    ranked = statistics.ranked_errors(statistics.compare(points, points.where("row_pos % 10 = 0"), "state"), "state")
+    return ranked.withColumns({c: F.round(c, 5) for c in ("largest_difference", "smallest_difference")})
+
+
+_GRID = """, x AS (SELECT min(lat) AS a, max(lat) AS b, min(lng) AS c, max(lng) AS d FROM p),
+g AS (SELECT CAST(least(floor((lat - a) / (b - a) * 50), 49) AS INTEGER) AS lat_bin, CAST(least(floor((lng - c) / (d - c) * 50), 49) AS INTEGER) AS lng_bin, row_pos FROM p, x),
+f AS (SELECT lat_bin, lng_bin, count(*) / (SELECT count(*) FROM g) AS original FROM g GROUP BY ALL),
+s AS (SELECT lat_bin, lng_bin, count(*) / (SELECT count(*) FROM g WHERE row_pos % 10 = 0) AS reduced FROM g WHERE row_pos % 10 = 0 GROUP BY ALL),
+t AS (SELECT lat_bin, lng_bin, coalesce(original, 0) AS original, coalesce(reduced, 0) AS reduced, coalesce(original, 0) - coalesce(reduced, 0) AS d FROM f FULL JOIN s USING (lat_bin, lng_bin))"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = event_points(spark, sf_dir)
+    return density.difference(points, points.where("row_pos % 10 = 0"))
+
+
+@query(f"WITH {_view('events')}{_GRID} SELECT lat_bin, lng_bin, round(original, 6) AS mass FROM f")
+def density_grid(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    return density.grid(points, density.extent(points)).withColumn("mass", r6("mass"))
+
+
+@query(f"WITH {_view('events')}{_GRID} SELECT lat_bin, lng_bin, round(original, 6) AS original, round(reduced, 6) AS reduced, round(d, 6) AS difference FROM t")
+def density_diff(spark, sf_dir):
+    return _cells(spark, sf_dir).withColumns({c: r6(c) for c in ("original", "reduced", "difference")})
+
+
+@query(f"""WITH {_view('events')}{_GRID}, m AS (SELECT greatest(max(abs(d)), 1e-12) AS top FROM t)
+SELECT round(sqrt(sum(d * d)), 6) AS l2_norm, round(max(abs(d)), 6) AS linf_distance, round(greatest(0, least(1, 1 - sum(abs(d)) / 2)), 6) AS overlap,
+round(coalesce(sum(d) FILTER (d > 0), 0), 6) AS positive_mass, round(coalesce(sum(-d) FILTER (d < 0), 0), 6) AS negative_mass,
+count(*) FILTER (abs(d) >= 0.1 * top AND d <> 0) AS high_change_cells FROM t, m""")
+def density_overlap(spark, sf_dir):
+    found = density.metrics(_cells(spark, sf_dir))
+    return found.select(*[r6(c).alias(c) for c in found.columns[:-1]], "high_change_cells")
+
+
+@query(f"""WITH {_view('events')}, x AS (SELECT min(lat) AS a, max(lat) AS b FROM p), i AS (SELECT unnest(range(0, 51)) AS i)
+SELECT i AS edge, round(a + (b - a) * i / 50, 6) AS lat_edge FROM x, i""")
+def density_edges(spark, sf_dir):
+    found = density.edges(density.extent(event_points(spark, sf_dir)))
+    return found.select(F.posexplode("lat_edges").alias("edge", "lat_edge")).withColumn("lat_edge", r6("lat_edge"))
+
+
+@query(f"WITH {_view('events')}{_GRID}, i AS (SELECT unnest(range(0, 50)) AS a), j AS (SELECT unnest(range(0, 50)) AS b) SELECT a AS lat_bin, b AS lng_bin, round(coalesce(d, 0), 6) AS v FROM i CROSS JOIN j LEFT JOIN t ON a = lat_bin AND b = lng_bin")
+def density_matrix(spark, sf_dir):
+    rows = density.matrix(_cells(spark, sf_dir), "difference").select(F.posexplode("difference").alias("lat_bin", "row"))
+    return rows.select("lat_bin", F.posexplode("row").alias("lng_bin", "v")).withColumn("v", r6("v"))
+
+
+# Boundaries ------------------------------------------------------------------------------------------------------------
+
+#: A polygon, one with a hole, and one of two parts: region, polygon, ring, corners.
+_REGIONS = [
+    ("plain", 0, 0, [(-120.5, 30.25), (-90.25, 28.5), (-85.75, 45.25), (-118.25, 47.75)]),
+    ("hole", 0, 0, [(-110.5, 26.25), (-70.25, 26.5), (-70.75, 48.25), (-110.25, 48.75)]),
+    ("hole", 0, 1, [(-100.5, 32.25), (-80.25, 32.5), (-90.75, 44.25)]),
+    ("parts", 0, 0, [(-124.5, 40.25), (-110.25, 41.5), (-115.75, 48.25)]),
+    ("parts", 1, 0, [(-80.5, 25.25), (-70.25, 27.5), (-75.75, 38.25), (-79.25, 33.75)]),
+]
+
+
+def region_rings(spark: SparkSession) -> DataFrame:
+    rows = [(region, poly, ring, i, x, y) for region, poly, ring, corners in _REGIONS for i, (x, y) in enumerate(corners)]
+    return spark.createDataFrame(rows, geometry.RINGS)
+
+
+def _edge_values() -> str:
+    rows = []
+    for region, poly, ring, corners in _REGIONS:
+        rows += [f"('{region}', {poly}, {ring}, {a}, {b}, {c}, {d})" for (a, b), (c, d) in zip([corners[-1], *corners], corners)]
+    return ", ".join(rows)
+
+
+_EDGES = f"e AS (SELECT region, poly, ring, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy FROM (VALUES {_edge_values()}) v(region, poly, ring, px, py, cx, cy))"
+
+
+@query(f"""WITH {_view('events')}, {_EDGES},
+h AS (SELECT row_pos, region, poly, ring, count(*) % 2 = 1 AS odd FROM p JOIN e ON (py > lat) <> (cy > lat) AND lng < (cx - px) * (lat - py) / (CASE WHEN cy = py THEN 1e-12 ELSE cy - py END) + px GROUP BY ALL),
+q AS (SELECT row_pos, region, poly FROM h WHERE odd GROUP BY ALL HAVING bool_or(ring = 0) AND NOT bool_or(ring > 0))
+SELECT DISTINCT row_pos, region FROM q""")
+def point_in_polygon(spark, sf_dir):
+    return geometry.containment(event_points(spark, sf_dir), geometry.edges_of_rings(region_rings(spark)))
+
+
+@query(f"WITH {_EDGES} SELECT region, min(cx) AS west, min(cy) AS south, max(cx) AS east, max(cy) AS north FROM e GROUP BY region")
+def boundary_bounds(spark, sf_dir):
+    return geometry.bounds(region_rings(spark))
+
+
+@query(f"""WITH {_view('events')}, b AS (SELECT state, min(lng) AS w, min(lat) AS s, max(lng) AS e, max(lat) AS n FROM p GROUP BY state),
+c AS (SELECT *, greatest((e - w) * 0.08, 0.01) AS dx, greatest((n - s) * 0.08, 0.01) AS dy FROM b)
+SELECT state, unnest(range(0, 5)) AS corner, round(unnest([w - dx, e + dx, e + dx, w - dx, w - dx]), 6) AS lng, round(unnest([s - dy, s - dy, n + dy, n + dy, s - dy]), 6) AS lat FROM c""")
+def bbox_feature(spark, sf_dir):
+    box = geometry.point_bounds(event_points(spark, sf_dir), "state")
+    ring = geometry.padded_box(*[F.col(c) for c in ("west", "south", "east", "north")])
+    return box.select("state", F.posexplode(ring).alias("corner", "p")).select("state", "corner", r6("p.lng").alias("lng"), r6("p.lat").alias("lat"))
+
+
+@query(f"""WITH {_EDGES}, c AS (SELECT *, avg(cx) OVER w AS mx, avg(cy) OVER w AS my, greatest((max(cx) OVER w - min(cx) OVER w) * 0.04, 0.005) AS sx, greatest((max(cy) OVER w - min(cy) OVER w) * 0.04, 0.005) AS sy FROM e WINDOW w AS (PARTITION BY region, poly, ring)),
+d AS (SELECT *, sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my)) AS norm FROM c)
+SELECT region, poly, ring, round(cx + (cx - mx) / norm * sx, 6) AS lng, round(cy + (cy - my) / norm * sy, 6) AS lat FROM d""")
+def pad_ring(spark, sf_dir):
+    rings = region_rings(spark).groupBy("region", "poly", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lng", "lat"))), lambda x: F.struct(x.lng.alias("lng"), x.lat.alias("lat"))).alias("p"))
+    moved = rings.select("region", "poly", "ring", F.explode(geometry.padded_ring(F.col("p"))).alias("q"))
+    return moved.select("region", "poly", "ring", r6("q.lng").alias("lng"), r6("q.lat").alias("lat"))
+
+
+@query()
+def convex_hull(spark, sf_dir):
+    return geometry.convex_hulls(vector_points(spark, sf_dir), "state")
+
+
+@query()
+def fallback_boundary(spark, sf_dir):
+    return geometry.fallback_rings(event_points(spark, sf_dir), "state", "county")
+
+
+#: A topology of two neighbouring squares that share an arc: quantised steps of each arc.
+_ARCS = [[(10, 10), (20, 0), (0, 20)], [(30, 30), (-20, 0), (0, -20)], [(30, 10), (15, 0), (0, 20), (-15, 0)]]
+_USES = [("left", 0, 0, 0, 0), ("left", 0, 0, 1, 1), ("right", 0, 0, 0, 2)]
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES (0, 0, 10, 10), (0, 1, 20, 0), (0, 2, 0, 20), (1, 0, 30, 30), (1, 1, -20, 0), (1, 2, 0, -20), (2, 0, 30, 10), (2, 1, 15, 0), (2, 2, 0, 20), (2, 3, -15, 0)) v(arc, pos, dx, dy))
+SELECT arc, pos, round(sum(dx) OVER w * CAST(0.25 AS DOUBLE) - 100, 6) AS lng, round(sum(dy) OVER w * CAST(0.5 AS DOUBLE) + 20, 6) AS lat FROM s WINDOW w AS (PARTITION BY arc ORDER BY pos)""")
+def topojson_decode(spark, sf_dir):
+    steps = spark.createDataFrame([(a, i, dx, dy) for a, arc in enumerate(_ARCS) for i, (dx, dy) in enumerate(arc)], "arc int, pos int, dx int, dy int")
+    return geometry.decode_arcs(steps, (0.25, 0.5), (-100.0, 20.0)).withColumns({"lng": r6("lng"), "lat": r6("lat")})
+
+
+@query("""SELECT * FROM (VALUES ('left', 0, 10, 10), ('left', 1, 30, 10), ('left', 2, 30, 30), ('left', 3, 10, 30), ('left', 4, 10, 10),
+('right', 0, 30, 10), ('right', 1, 45, 10), ('right', 2, 45, 30), ('right', 3, 30, 30), ('right', 4, 30, 10)) v(region, pos, lng, lat)""")
+def topojson_rings(spark, sf_dir):
+    steps = spark.createDataFrame([(a, i, dx, dy) for a, arc in enumerate(_ARCS) for i, (dx, dy) in enumerate(arc)], "arc int, pos int, dx int, dy int")
+    uses = spark.createDataFrame(_USES, "region string, poly int, ring int, part int, arc int")
+    rings = geometry.stitch_rings(uses, geometry.decode_arcs(steps, (1.0, 1.0), (0.0, 0.0)))
+    return rings.select("region", "pos", F.col("lng").cast("int").alias("lng"), F.col("lat").cast("int").alias("lat"))
+
+
+# Pixels ----------------------------------------------------------------------------------------------------------------
+
+_MERCATOR = "ln(tan(pi() / 4 + radians(greatest(least({0}, 85.05112878), -85.05112878)) / 2))"
+
+
+@query(f"WITH {_view('events')} SELECT row_pos, round(radians(lng), 6) AS x, round({_MERCATOR.format('lat')}, 6) AS y FROM p")
+def mercator_xy(spark, sf_dir):
+    return event_points(spark, sf_dir).select("row_pos", r6(C.mercator_x("lng")).alias("x"), r6(C.mercator_y("lat")).alias("y"))
+
+
+@query(f"""WITH {_view('events')}, b AS (SELECT state, radians(min(lng)) AS x0, radians(max(lng)) AS x1, {_MERCATOR.format('min(lat)')} AS y0, {_MERCATOR.format('max(lat)')} AS y1 FROM p GROUP BY state),
+c AS (SELECT *, least(1184 / (x1 - x0), 832 / (y1 - y0)) AS s FROM b)
+SELECT row_pos, round(32 + (1184 - (x1 - x0) * s) / 2 + (radians(lng) - x0) * s, 4) AS px, round(32 + (832 - (y1 - y0) * s) / 2 + (y1 - {_MERCATOR.format('lat')}) * s, 4) AS py FROM p JOIN c USING (state)""")
+def fit_pixels(spark, sf_dir):
+    placed = pixels.fit_pixels(event_points(spark, sf_dir), Viewport.of("state"), "state")
+    return placed.select("row_pos", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
+
+
+@query(f"WITH {_view('vectors')}, q AS (SELECT lat, lng, row_pos FROM p) SELECT round(min(sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lng - b.lng) * (a.lng - b.lng))), 9) AS spacing FROM q a JOIN q b ON a.row_pos < b.row_pos")
+def min_pairwise(spark, sf_dir):
+    found = pixels.min_distance(vector_points(spark, sf_dir), "lng", "lat")
+    return spark.range(1).select(F.round(F.lit(found), 9).alias("spacing"))
+
+
+@query()
+def thin_by_distance(spark, sf_dir):
+    return pixels.thin(vector_points(spark, sf_dir), 0.05, "state", order="row_pos", x="lng", y="lat")
+
+
+@query()
+def pixel_occupancy(spark, sf_dir):
+    return pixels.pixel_sample(event_points(spark, sf_dir), "state", None, "state").select("state", "row_pos")
+
+
+# Samples ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_view('events')}, s AS (SELECT state, county, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT unnest(range(1, 101)) AS percentage)
+SELECT state, county, n, percentage, CAST(least(n, greatest(1, round_even(n * (percentage / 100::DOUBLE), 0))) AS BIGINT) AS n_keep FROM s, q WHERE percentage <= 30 OR percentage % 2 = 0""")
+def retain_sizes(spark, sf_dir):
+    sizes = event_points(spark, sf_dir).groupBy("state", "county").agg(F.count("*").alias("n"))
+    return sampling.retain_sizes(sizes, sampling.configured("state")).withColumn("n_keep", F.col("n_keep").cast("long"))
+
+
+_FPS = """, v AS (SELECT row_pos, lat, lng FROM p WHERE state = '3'), c AS (SELECT avg(lat) AS a, avg(lng) AS b FROM v),
+f AS (SELECT row_pos FROM v, c ORDER BY (lat - a) * (lat - a) + (lng - b) * (lng - b) DESC, row_pos LIMIT 1),
+w AS (
+  SELECT 0 AS step, v.row_pos, v.lat, v.lng, CAST('inf' AS DOUBLE) AS d2, v.row_pos = f.row_pos AS now, v.row_pos = f.row_pos AS done FROM v, f
+  UNION ALL
+  SELECT step + 1, row_pos, lat, lng, nd, row_number() OVER (ORDER BY done, nd DESC, row_pos) = 1, done OR row_number() OVER (ORDER BY done, nd DESC, row_pos) = 1
+  FROM (SELECT w.step, w.row_pos, w.lat, w.lng, w.done, least(w.d2, (w.lat - k.lat) * (w.lat - k.lat) + (w.lng - k.lng) * (w.lng - k.lng)) AS nd
+        FROM w, (SELECT lat, lng FROM w WHERE now) k WHERE w.step < 19))"""
+
+
+@query(f"WITH RECURSIVE {_view('vectors')}{_FPS} SELECT row_pos, CAST(step AS BIGINT) AS fps_rank FROM w WHERE now")
+def fps_first(spark, sf_dir):
+    own = scope.in_scope(vector_points(spark, sf_dir), scope.Scope("state", "3"))
+    return fps_order(own.withColumn("_steps", F.lit(20)), steps_col="_steps")
+
+
+@query()
+def fps_ranks(spark, sf_dir):
+    return fps_order(vector_points(spark, sf_dir), "state")
+
+
+@query()
+def fps_samples(spark, sf_dir):
+    points = vector_points(spark, sf_dir)
+    samples = sampling.fps_prefixes(points, fps_order(points, "state"), [1, 5, 10, 20, 50, 100], "state")
+    return samples.select("state", "percentage", "n_keep", "row_pos", "fps_rank")
+
+
+@query("""WITH s AS (SELECT unnest(['AZ', 'UT', 'NC']) AS state), q AS (SELECT unnest([3, 4, 26, 50]) AS percentage)
+SELECT state, percentage, CAST('0x' || substr(sha256('{"county": "", "method": "random", "retain_percentage": ' || percentage || ', "state": "' || state || '", "zoom": "state"}'), 1, 8) AS BIGINT) AS seed FROM s, q""")
+def random_seeds(spark, sf_dir):
+    each = spark.createDataFrame([(s, p) for s in ("AZ", "UT", "NC") for p in (3, 4, 26, 50)], "state string, percentage int")
+    return each.withColumn("seed", C.random_seed(F.lit("state"), F.col("state"), F.lit(""), F.col("percentage")))
+
+
+@query()
+def random_sample(spark, sf_dir):
+    return sampling.random_sample(event_points(spark, sf_dir), "state", 26, "state").select("state", "row_pos", "draw_rank")
+
+
+# Topology and curves ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {_view('vectors')}, v AS (SELECT DISTINCT lat, lng FROM p WHERE state = '3'), i AS (SELECT row_number() OVER (ORDER BY lat, lng) AS i, lat, lng FROM v),
+w AS (
+  SELECT 0 AS step, i, lat, lng, CAST('inf' AS DOUBLE) AS d2, i = 1 AS now, i = 1 AS done, CAST(0 AS DOUBLE) AS edge FROM i
+  UNION ALL
+  SELECT step + 1, i, lat, lng, nd, row_number() OVER (ORDER BY done, nd, i) = 1 AND NOT done, done OR row_number() OVER (ORDER BY done, nd, i) = 1, nd
+  FROM (SELECT w.step, w.i, w.lat, w.lng, w.done, least(w.d2, (w.lat - k.lat) * (w.lat - k.lat) + (w.lng - k.lng) * (w.lng - k.lng)) AS nd FROM w, (SELECT lat, lng FROM w WHERE now) k))
+SELECT round(edge / 4, 9) AS death FROM w WHERE now AND step > 0""")
+def h0_deaths(spark, sf_dir):
+    own = scope.in_scope(vector_points(spark, sf_dir), scope.Scope("state", "3"))
+    found = topology.diagram_rows(topology.diagrams(own, "state"), "state")
+    return found.where("family = 'H0'").select(F.round("death", 9).alias("death"))
+
+
+@query()
+def h1_pairs(spark, sf_dir):
+    return topology.diagram_rows(topology.diagrams(vector_points(spark, sf_dir), "state"), "state").where("family = 'H1'")
+
+
+@query()
+def diagram_axes(spark, sf_dir):
+    return topology.axis_range(topology.diagram_rows(topology.diagrams(vector_points(spark, sf_dir), "state"), "state"))
+
+
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.error_curve(vector_points(spark, sf_dir), "state", "state", percentages=[1, 2, 5, 10, 20, 30, 50, 80, 100])
+
+
+@query()
+def error_curve(spark, sf_dir):
+    return _curve(spark, sf_dir).drop("h0", "h1")
+
+
+@query()
+def threshold_selection(spark, sf_dir):
+    curve = _curve(spark, sf_dir).drop("h0", "h1")
+    return curves.select_by_threshold(curves.normalize(curve, curves.baseline_row(curve, 5, "state", "state"), "state"), 0.5, "bottleneck_h0", "state")
+
+
+@query()
+def distance_baseline(spark, sf_dir):
+    points = vector_points(spark, sf_dir)
+    return baselines.baseline_entry(points, scope.Scope("state", "3"), baselines.BASELINES["country_1pct_distance"])
+
+
+#: A curve whose error is not monotone, with a zero-based metric: scope, percentage, points, the four metrics.
+_CURVE = [
+    ("a", 1, 10, 8.0, 0.0, 16.0, 0.0), ("a", 2, 20, 6.0, 1.0, 12.0, 0.0), ("a", 5, 50, 3.0, 2.0, 9.0, 0.0), ("a", 10, 100, 5.0, 0.0, 4.0, 0.0), ("a", 100, 1000, 0.0, 0.0, 0.0, 0.0),
+    ("b", 1, 4, 2.0, 1.0, 4.0, 2.0), ("b", 2, 8, 2.0, 1.0, 4.0, 2.0), ("b", 5, 20, 1.5, 1.0, 4.0, 2.0),
+]
+_CURVE_COLUMNS = ["scope", "percentage", "n_points", *topology.METRICS]
+
+
+def _literal_curve(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_CURVE, ", ".join(["scope string", "percentage int", "n_points int", *[f"{m} double" for m in topology.METRICS]]))
+
+
+_CURVE_SQL = f"k AS (SELECT scope, percentage, n_points, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in topology.METRICS)} FROM (VALUES {', '.join(map(str, _CURVE))}) v({', '.join(_CURVE_COLUMNS)}))"
+_NORMAL = f"""{_CURVE_SQL}, m AS (SELECT k.*, b.percentage AS baseline_percentage, b.n_points AS baseline_points, {', '.join(f"CASE WHEN b.{x} <= 0 THEN CASE WHEN k.{x} <= 0 THEN 0 ELSE CAST('inf' AS DOUBLE) END ELSE k.{x} / b.{x} END AS normalized_{x}" for x in topology.METRICS)}
+FROM k JOIN k b ON b.scope = k.scope AND b.percentage = 2)"""
+
+
+def _normal(spark: SparkSession) -> DataFrame:
+    curve = _literal_curve(spark)
+    return curves.normalize(curve, curves.baseline_row(curve, 2, "state", "scope"), "scope")
+
+
+@query(f"WITH {_NORMAL} SELECT scope, percentage, {', '.join(f'CASE WHEN isfinite(normalized_{x}) THEN round(normalized_{x}, 6) END AS normalized_{x}' for x in topology.METRICS)} FROM m")
+def normalize_metrics(spark, sf_dir):
+    finite = lambda c: F.when(F.abs(F.col(c)) != float("inf"), r6(c)).alias(c)
+    return _normal(spark).select("scope", "percentage", *[finite(f"normalized_{m}") for m in topology.METRICS])
+
+
+@query(f"""WITH {_NORMAL}, c AS (SELECT scope, coalesce(min(percentage) FILTER (normalized_bottleneck_h0 <= 0.6), max(percentage)) AS percentage FROM m WHERE percentage >= baseline_percentage GROUP BY scope)
+SELECT scope, percentage, n_points, bottleneck_h0, normalized_bottleneck_h0 <= 0.6 AS within FROM c JOIN m USING (scope, percentage)""")
+def select_threshold(spark, sf_dir):
+    return curves.select_by_threshold(_normal(spark), 0.6, "bottleneck_h0", "scope").select("scope", "percentage", "n_points", "bottleneck_h0", "within")
+
+
+@query(f"""WITH {_NORMAL}, c AS (SELECT scope, coalesce(min(percentage) FILTER (normalized_wasserstein_h0 <= 0.5), max(percentage)) AS percentage FROM m WHERE n_points >= baseline_points GROUP BY scope)
+SELECT scope, percentage, n_points, wasserstein_h0, normalized_wasserstein_h0 <= 0.5 AS within FROM c JOIN m USING (scope, percentage)""")
+def select_distance_baseline(spark, sf_dir):
+    return curves.select_by_distance_baseline(_normal(spark), 0.5, "wasserstein_h0", "scope").select("scope", "percentage", "n_points", "wasserstein_h0", "within")
+
+
+@query(f"""WITH {_CURVE_SQL}, q AS (SELECT unnest([1, 3, 7, 60]) AS requested)
+SELECT requested, scope, coalesce(max(percentage) FILTER (percentage <= requested), min(percentage)) AS below, coalesce(min(percentage) FILTER (percentage >= requested), max(percentage)) AS above FROM k, q GROUP BY ALL""")
+def nearest_percentage(spark, sf_dir):
+    curve, out = _literal_curve(spark), None
+    for p in (1, 3, 7, 60):
+        below = curves.nearest_percentage(curve, p, True, "scope").withColumnRenamed("percentage", "below")
+        row = below.join(curves.nearest_percentage(curve, p, False, "scope").withColumnRenamed("percentage", "above"), "scope").withColumn("requested", F.lit(p))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"""WITH {_CURVE_SQL}, n AS (SELECT scope, percentage, n_points + 1 AS n_points, bottleneck_h0 FROM k WHERE percentage % 5 = 0)
+SELECT scope, percentage, coalesce(n.n_points, k.n_points) AS n_points FROM k LEFT JOIN n USING (scope, percentage)""")
+def curve_overlay(spark, sf_dir):
+    curve = _literal_curve(spark)
+    partial = curve.where("percentage % 5 = 0").withColumn("n_points", F.col("n_points") + 1)
+    return curves.overlay(curve, partial, "scope").select("scope", "percentage", "n_points")
+
+
+@query(f"""WITH {_CURVE_SQL}, q AS (SELECT unnest(range(1, 11)) AS p), m AS (SELECT s.scope, list(p ORDER BY p) FILTER (k.percentage IS NULL) AS l FROM (SELECT DISTINCT scope FROM k) s CROSS JOIN q LEFT JOIN k ON k.scope = s.scope AND k.percentage = p GROUP BY s.scope)
+SELECT scope, (SELECT count(*) FROM k WHERE k.scope = m.scope) AS row_count, array_to_string(l, ',') AS missing, len(l) = 0 AS complete FROM m""")
+def curve_missing(spark, sf_dir):
+    found = curves.completeness(_literal_curve(spark), "state", "scope", most=10)
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
+@query(f"WITH {_CURVE_SQL} SELECT scope, percentage, round(n_points / CASE scope WHEN 'a' THEN 1000.0 ELSE 400.0 END * 100, 6) AS equivalent, CASE WHEN bottleneck_h1 <= 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS itself, CAST(round(100.0 * percentage / 65) AS INTEGER) AS progress FROM k WHERE percentage <= 60")
+def curve_figures(spark, sf_dir):
+    total = F.when(F.col("scope") == "a", 1000).otherwise(400)
+    return _literal_curve(spark).where("percentage <= 60").select(
+        "scope", "percentage", r6(C.equivalent_percentage("n_points", total)).alias("equivalent"), C.normalized_against_itself("bottleneck_h1").alias("itself"), C.progress("percentage", F.lit(65)).alias("progress")
+    )
+
+
+# Names, keys, lookups --------------------------------------------------------------------------------------------------
+
+_COUNTIES = ["St. Louis County", " Orleans Parish ", "Fairfax", "Anchorage Municipality", "Juneau City and Borough", "Nome  Census Area", "De Kalb:x/y"]
+_COUNTY_VALUES = ", ".join(f"('{c}')" for c in _COUNTIES)
+
+
+@query(f"""WITH c AS (SELECT county, lower(trim(county)) AS low FROM (VALUES {_COUNTY_VALUES}) v(county)),
+d AS (SELECT county, CASE WHEN low LIKE '% county' THEN left(low, -7) WHEN low LIKE '% parish' THEN left(low, -7) WHEN low LIKE '% borough' THEN left(low, -8)
+  WHEN low LIKE '% census area' THEN left(low, -12) WHEN low LIKE '% municipality' THEN left(low, -13) ELSE low END AS cut FROM c)
+SELECT county, trim(regexp_replace(replace(cut, '.', ' '), '\\s+', ' ', 'g')) AS normal, translate(county, '\\/: ', '____') AS safe FROM d""")
+def normalize_county(spark, sf_dir):
+    names = spark.createDataFrame([(c,) for c in _COUNTIES], "county string")
+    return names.select("county", C.normalize_county("county").alias("normal"), C.safe_name("county").alias("safe"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str(r) for r in S.ROWS if r[1] in ("AZ", "UT", "NC", "PR")) + ") v(fips, code, name)")
+def fips_lookup(spark, sf_dir):
+    return S.available_states(spark, spark.createDataFrame([(c,) for c in ("AZ", "UT", "NC", "PR", "XX")], "state string"))
+
+
+@query("SELECT * FROM (VALUES ('VA', 'Fairfax County', '51059', 'Fairfax'), ('NC', 'mecklenburg', '37119', 'Mecklenburg County')) v(state, county, fips, name)")
+def county_match(spark, sf_dir):
+    wanted = spark.createDataFrame([("VA", "Fairfax County"), ("NC", "mecklenburg"), ("UT", "Nowhere")], "state string, county string")
+    atlas = spark.createDataFrame([("51600", "Fairfax"), ("51059", "Fairfax"), ("37119", "Mecklenburg County"), ("4001", "Apache")], "fips string, name string")
+    return S.match_counties(wanted, atlas)
+
+
+@query("SELECT * FROM (VALUES ('04', '04001,04003'), ('37', '37119')) v(state_fips, counties)")
+def counties_by_state(spark, sf_dir):
+    atlas = spark.createDataFrame([("37119",), ("4003",), ("4001",)], "fips string").withColumn("name", F.lit("x"))
+    return S.counties_by_state(atlas).withColumn("counties", F.array_join("counties", ","))
+
+
+@query(f"""WITH {_view('customers')}, s AS (SELECT DISTINCT state, county FROM p), r AS (SELECT *, '/api/labels/counties?state=' || replace(state, ' ', '+') || '&county=' || county AS route FROM s)
+SELECT state, county, route, substr(sha1(route), 1, 16) AS name, state || '::' || county AS region, 'county:' || upper(state) || ':' || lower(county) AS job FROM r""")
+def route_keys(spark, sf_dir):
+    rows = customer_points(spark, sf_dir).select("state", "county").distinct()
+    rows = rows.withColumn("route", C.route_key("/api/labels/counties", [("state", F.col("state")), ("county", F.col("county"))]))
+    return rows.select("state", "county", "route", C.route_digest("route").alias("name"), C.region_id("state", "county").alias("region"), C.job_key(F.lit("county"), "state", "county").alias("job"))
+
+
+@query("""SELECT * FROM (VALUES ('LA', 'Caddo', 'Caddo, Louisiana, United States|Caddo County, Louisiana, United States|Caddo Parish, Louisiana, United States'),
+('AK', 'Nome', 'Nome, Alaska, United States|Nome County, Alaska, United States|Nome Borough, Alaska, United States|Nome Census Area, Alaska, United States'),
+('NC', 'Wake County', 'Wake County, North Carolina, United States')) v(state, county, queries)""")
+def county_queries(spark, sf_dir):
+    rows = spark.createDataFrame([("LA", "Caddo", "Louisiana"), ("AK", "Nome", "Alaska"), ("NC", "Wake County", "North Carolina")], "state string, county string, name string")
+    return rows.select("state", "county", F.array_join(C.county_queries("state", "name", "county"), "|").alias("queries"))
+
+
+@query("SELECT * FROM (VALUES (1, true, 0.0), (2, false, 2.5), (3, true, 0.0)) v(n, close, finite)")
+def number_checks(spark, sf_dir):
+    rows = spark.createDataFrame([(1, 1.0, 1.0 + 1e-13, float("nan")), (2, 1.0, 1.001, 2.5), (3, 0.0, 1e-16, float("inf"))], "n int, a double, b double, c double")
+    return rows.select("n", C.is_close("a", "b").alias("close"), C.finite("c").alias("finite"))
+
+
+# The flagship ----------------------------------------------------------------------------------------------------------
+
+
+def _prefix_errors(points: DataFrame, percentage: int = 10) -> DataFrame:
+    samples = sampling.fps_prefixes(points, fps_order(points, "state"), [percentage], "state")
+    return statistics.compare(points, samples, "state")
+
+
+@query()
+def fps_compare(spark, sf_dir):
+    """Each state's 10 % farthest-point sample against all of its points."""
+    return _errors(_prefix_errors(vector_points(spark, sf_dir)), "state")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fps_compare(spark, sf_dir)
