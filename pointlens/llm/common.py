@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the only word separator: [\x20\x09-\x0D].
-WORD = r"[^\x20\x09-\x0D]+"
+from pointlens.sources.shared import checkpoint, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "checkpoint", "shared_dir", "small", "table", "text_slices"]
 
 #: A side of a join is broadcast only when its counted rows stay below this.
 BROADCAST_ROWS = 1_000_000
@@ -22,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder that all executors share.
-
-    The cluster names it in spark.checkpoint.dir; where that is unset, as in tests, a local
-    temporary folder is set.
-    """
-    return f"{_checkpoint_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor costs no recomputation."""
-    _checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, df itself otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
