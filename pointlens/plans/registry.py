@@ -90,9 +90,9 @@ def scope_state(spark, sf_dir):
     return trim_sample(scope.in_scope(event_points(spark, sf_dir), scope.Scope("state", "click")))
 
 
-@query(f"WITH {_view('customers')} SELECT * FROM p WHERE state = 'FRANCE' AND county = 'BUILDING'")
+@query(f"WITH {_view('customers')} SELECT * FROM p WHERE state = 'NATION_7' AND county = 'BUILDING'")
 def scope_county(spark, sf_dir):
-    return trim_sample(scope.in_scope(customer_points(spark, sf_dir), scope.Scope("county", "FRANCE", "BUILDING")))
+    return trim_sample(scope.in_scope(customer_points(spark, sf_dir), scope.Scope("county", "NATION_7", "BUILDING")))
 
 
 @query(f"WITH {_view('events')} SELECT DISTINCT state FROM p WHERE state IS NOT NULL")
