@@ -52,7 +52,7 @@ def _rows(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> Dat
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
