@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointlens.functions.columns import route_key, scope_label, threshold_text
 from pointlens.operators import curves, density, statistics
+from pointlens.operators.fps import fps_order
 from pointlens.operators.pixels import Viewport, pixel_sample
 from pointlens.operators.sampling import PERCENTAGES, random_sample
 from pointlens.operators.scope import Scope, all_scopes, counts, county_labels, coverage, in_scope
@@ -48,7 +49,7 @@ class Engine:
 
     def _curve(self, scope: Scope) -> DataFrame:
         found = store.read_or_empty(self.spark, f"{self.path}/curves", CURVE)
-        rows = found.where((F.col("zoom") == scope.zoom) & (F.col("state") == scope.state) & (F.col("county") == scope.county)).drop(*store.SCOPE)
+        rows = store.of_scope(found, scope.zoom, scope.state, scope.county).drop(*store.SCOPE)
         return curves.available(rows, rows.limit(0), scope.zoom)
 
     def build(self, scope: Scope, most: int = 100) -> None:
@@ -120,8 +121,6 @@ class Engine:
             itself = 0.0 if base.bottleneck_h0 <= 0 else 1.0
             if itself <= max(0.0, self.default_threshold if threshold is None else threshold) and base.n_points <= chosen.n_points:
                 return baseline_sample(self.points, scope, baseline(baseline_key)).drop("fps_rank")
-        from pointlens.operators.fps import fps_order
-
         stepped = own.withColumn("_steps", F.lit(chosen.n_points))
         return own.join(fps_order(stepped, steps_col="_steps"), "row_pos").where(F.col("fps_rank") < chosen.n_points).drop("fps_rank")
 

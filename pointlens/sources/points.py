@@ -66,13 +66,3 @@ def file_signature(files: DataFrame) -> DataFrame:
     """Path, bytes and time of change of the files behind a table that was read from files."""
     meta = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     return meta.groupBy("file_path").agg(F.max("file_size").alias("size_bytes"), F.max("file_modification_time").alias("modified"))
-
-
-def write_samples(samples: DataFrame, path: str) -> None:
-    """Samples by scope, one folder for each, so that a reader of a scope opens no other."""
-    samples.write.mode("overwrite").partitionBy("zoom", "state", "county").parquet(path)
-
-
-def read_samples(spark: SparkSession, path: str, zoom: str, state: str = "", county: str = "", percentage: int | None = None) -> DataFrame:
-    found = spark.read.parquet(path).where((F.col("zoom") == zoom) & (F.col("state") == state) & (F.col("county") == county))
-    return found if percentage is None else found.where(F.col("percentage") == percentage)

@@ -29,7 +29,7 @@ def read_json_or_default(spark: SparkSession, path: str, schema: str, default: d
     try:
         read = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True).json(path)
         good = read.where("_corrupt IS NULL").drop("_corrupt")
-        return fallback if good.isEmpty() else good
+        return fallback if good.first() is None else good
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -51,11 +51,27 @@ def valid(manifest: DataFrame, signatures: DataFrame, *keys: str) -> DataFrame:
     return manifest.join(signatures, [*keys, "n_rows", "first_id", "last_id", "content_hash"], "left_semi")
 
 
+def of_scope(rows: DataFrame, zoom: str, state: str, county: str) -> DataFrame:
+    """Rows of one scope from a table by scope; only its folder is read. Blank names are null in folder names."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return rows.where((F.col("zoom") == zoom) & (blank("state") == state) & (blank("county") == county))
+
+
 def write_curve(curve: DataFrame, path: str) -> None:
     """Curves by scope, in one atomic write each; other scopes' folders stay."""
     curve.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCOPE).parquet(path)
 
 
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Samples by scope, one folder for each, so that a reader of a scope opens no other."""
+    write_curve(samples, path)
+
+
+def read_samples(spark: SparkSession, path: str, zoom: str, state: str = "", county: str = "", percentage: int | None = None) -> DataFrame:
+    found = of_scope(spark.read.parquet(path), zoom, state, county)
+    return found if percentage is None else found.where(F.col("percentage") == percentage)
+
+
 def sanitized(payload: DataFrame, local_prefix: str) -> DataFrame:
     """A payload table without local fields; the local prefix in its text columns is replaced."""
     kept = payload.drop(*LOCAL_FIELDS)
