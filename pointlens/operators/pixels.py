@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointlens.functions.columns import mercator_x, mercator_y
 from pointlens.sources.points import with_coordinates
-from pointlens.sources.shared import checkpoint
+from pointlens.sources.shared import checkpoint, spread
 
 #: Marker radius and stroke width in pixels.
 MARKERS = {"country": (3.2, 0.6), "state": (4.2, 0.6), "county": (4.2, 0.6)}
@@ -173,7 +173,7 @@ def thin(points: DataFrame, distance: float, *by: str, order: str = "row_pos", x
         small = small.where(~same)
         own = thin_distributed(rows.where(same), distance, order, x, y)
         out.append(own.select(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in scopes], order))
-    kept = small.groupBy(*scopes).applyInPandas(keep, schema)
+    kept = spread(small, *scopes).groupBy(*scopes).applyInPandas(keep, schema)
     for own in out:
         kept = kept.unionByName(own)
     return kept.select(*by, order)

@@ -25,3 +25,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key together, keys over all shuffle partitions.
+
+    For groups that take long for their bytes: Spark would put small partitions together by size and run their groups one after the other.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
