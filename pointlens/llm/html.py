@@ -49,15 +49,19 @@ WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
     "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup",
     "promo", "promotion", "recommended", "related", "respond", "sharing", "share", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription",
-    "toolbar", "topbar", "widget",
+    "toolbar", "topbar", "widget", "alert", "announcement", "paywall", "privacy", "replies",
 }
+WORD_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
 HEADS = {"header", "masthead"}
+OF_ARTICLE = {"article", "entry", "post", "story"}  # a header so named holds the headline
 ARTICLES = {"article", "main"}
 ENDS_PARAGRAPH = {"p", "div", "ul", "ol", "table", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "form", "nav", "aside", "footer", "header", "main", "hr", "figure", "address", "dl", "fieldset"}
 
 
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
+    if tag in DROPPED:
+        return True
+    if tag == "header" and not in_article and not any(w in attributes.lower() for w in OF_ARTICLE):
         return True
     if not attributes or tag in ("html", "body") or tag in ARTICLES and not in_article and "comment" not in attributes:
         return False
@@ -67,7 +71,7 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             words = {w.lower() for w in _NAME.findall(value)}
-            if words & WORDS or (words & HEADS and not in_article):
+            if words & WORDS or any(w.startswith(WORD_STARTS) for w in words) or (words & HEADS and not in_article and not words & OF_ARTICLE):
                 return True
         if name == "style" and regex.search(r"display\s*:\s*none", value):
             return True

@@ -31,6 +31,11 @@ def test_adverts_and_headers_inside_an_article():
     assert extract_text("<article><p>a < b and <b>bold</b>text &lt;i&gt;</p><!-- <p>no</p> --></article>") == "a < b and boldtext <i>"
 
 
+def test_headlines_in_named_headers():
+    page = "<div class='site-header'>Site name</div><div class='entry'><div class='entry-header'><h1>Head</h1></div><p>Text of some length follows here.</p></div><ol class='commentlist'><li>I agree with all of it, and more.</li></ol>"
+    assert extract_text(page) == "Head\n\nText of some length follows here."
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "u", ""), (2, "u", ""), (None, "u", "<p>x</p>"), (3, "u", "plain"), (4, "u", "<p>" + "y " * 200000), (5, "u", "<nav><a>only menu</a></nav>"), (6, "u", "<<>><p <p a='>b</p>")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
