@@ -85,6 +85,15 @@ def coverage(scopes: DataFrame) -> DataFrame:
     return known.groupBy("state").agg(F.sort_array(F.collect_set(F.when((F.col("zoom") == "county") & (F.col("county") != ""), F.col("county")))).alias("counties"))
 
 
+def method_coverage(scopes: DataFrame, percentages: tuple[int, ...] = (3, 4, 26, 50)) -> DataFrame:
+    """method, states, counties (map of states to their counties), retain_percentages (of random samples only): one row for each method."""
+    known = coverage(scopes)
+    whole = known.agg(F.sort_array(F.collect_list("state")).alias("states"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("state", "counties")))).alias("counties"))
+    methods = F.explode(F.array(*[F.lit(m) for m in ("all", "pixel", "fps_threshold", "random")]))
+    each = whole.select(methods.alias("method"), "states", "counties")
+    return each.withColumn("retain_percentages", F.when(F.col("method") == "random", F.array(*[F.lit(p) for p in percentages])))
+
+
 def coverage_status(scopes: DataFrame, manifest: DataFrame) -> DataFrame:
     """Scopes with `available`: whether the manifest holds a row of them."""
     have = manifest.select("zoom", "state", "county").distinct().withColumn("_there", F.lit(True))

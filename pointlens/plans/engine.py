@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlens.functions.columns import route_key, scope_label, threshold_text
-from pointlens.operators import curves, density, statistics
+from pointlens.operators import curves, density, geometry, statistics
 from pointlens.operators.fps import fps_order
 from pointlens.operators.pixels import Viewport, pixel_sample
 from pointlens.operators.sampling import PERCENTAGES, random_sample
@@ -16,6 +16,7 @@ from pointlens.operators.scope import Scope, all_scopes, counts, county_labels,
 from pointlens.operators.topology import METRICS, diagrams, with_distances
 from pointlens.plans.baselines import BASELINES, baseline, baseline_entry, baseline_sample
 from pointlens.sources import store
+from pointlens.sources.boundaries import resolve
 from pointlens.sources.points import frame_signature, with_coordinates
 
 METHODS = ("all", "pixel", "random", "fps_threshold")
@@ -39,6 +40,7 @@ class Engine:
     points: DataFrame
     path: str
     default_threshold: float = 0.5
+    providers: tuple = ()  # functions from a region id to ring points, asked in order
     _entries: dict = field(default_factory=dict)
 
     @property
@@ -80,6 +82,21 @@ class Engine:
             "percentages",
         )
 
+    # boundaries --------------------------------------------------------------------------------------------------------
+
+    def boundary(self, scope: Scope) -> DataFrame:
+        """Ring points of a county or state from the providers, else the padded hull of its points."""
+        region = f"{scope.state}::{scope.county}" if scope.zoom == "county" else scope.state
+        return resolve(self.providers, region, in_scope(self.points, scope))
+
+    def _points(self, scope: Scope) -> DataFrame:
+        """A scope's points; those of a county only inside its boundary, if a provider knows it."""
+        own = in_scope(self.points, scope)
+        if scope.zoom != "county" or not self.providers:
+            return own
+        rings = self.boundary(scope)
+        return geometry.inside(own, geometry.edges_of_rings(rings), f"{scope.state}::{scope.county}")
+
     # samples -----------------------------------------------------------------------------------------------------------
 
     def selection(self, scope: Scope, threshold: float | None = None, baseline_key: object = None, metric: str = "bottleneck_h0") -> DataFrame:
@@ -102,7 +119,7 @@ class Engine:
 
     def sample(self, scope: Scope, method: str = "pixel", retain: int = 50, threshold: float | None = None, baseline_key: object = None, view: Viewport | None = None) -> DataFrame:
         """The points that a method shows of a scope."""
-        own = with_coordinates(in_scope(self.points, scope))
+        own = with_coordinates(self._points(scope))
         if method == "all":
             return own
         if method == "pixel":
@@ -128,7 +145,7 @@ class Engine:
 
     def analyze(self, scope: Scope, method: str = "pixel", what: str = "topological", **how) -> DataFrame:
         """What the sample of a method lost: one row for statistical, one for topological, the cells of the grid for density."""
-        whole, reduced = in_scope(self.points, scope), self.sample(scope, method, **how)
+        whole, reduced = self._points(scope), self.sample(scope, method, **how)
         if what == "statistical":
             return statistics.compare(whole, reduced)
         if what == "density":

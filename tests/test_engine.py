@@ -9,11 +9,11 @@ from pointlens.functions import columns as C
 from pointlens.operators import curves, geometry, pixels, sampling, topology
 from pointlens.operators import fps
 from pointlens.operators.pixels import Viewport
-from pointlens.operators.scope import Scope, county_labels, in_scope
+from pointlens.operators.scope import Scope, county_labels, in_scope, method_coverage
 from pointlens.plans.engine import Engine, MissingCurve
 from pointlens.plans.registry import ORACLE_SQL, QUERIES, event_points, vector_points
 from pointlens.sources import points as P
-from pointlens.sources import store
+from pointlens.sources import boundaries, store
 from pointlens.streaming import refresh
 
 POINT = "id string, lat double, lng double, state string, county string, row_pos long"
@@ -187,6 +187,35 @@ def test_features_and_boundaries(spark, tmp_path):
     assert geometry.empty_ring(spark).first().ring[0].lng == pytest.approx(-124 - 58 * 0.08)
 
 
+def test_topologies_providers_and_clipping(spark, tmp_path):
+    arcs = [[[0, 0], [4, 0], [0, 4]], [[4, 4], [-4, 0], [0, -4]], [[4, 0], [4, 0], [0, 4], [-4, 0]]]
+    shapes = [{"type": "Polygon", "id": "01001", "properties": {"name": "West"}, "arcs": [[0, 1]]}, {"type": "MultiPolygon", "id": "01003", "properties": {"name": "East"}, "arcs": [[[2, -1]]]}]
+    shapes[1]["arcs"] = [[[2]]]
+    (tmp_path / "t.json").write_text(json.dumps({"type": "Topology", "transform": {"scale": [0.5, 0.25], "translate": [-100, 30]}, "objects": {"counties": {"type": "GeometryCollection", "geometries": shapes}}, "arcs": arcs}))
+    rings, names = boundaries.read_topology(spark, str(tmp_path / "t.json"), "counties")
+    found = {r.region: [(x.lng, x.lat) for x in sorted(rings.where(F.col("region") == r.region).collect(), key=lambda x: x.pos)] for r in rings.select("region").distinct().collect()}
+    assert found["01001"] == [(-100, 30), (-98, 30), (-98, 31), (-100, 31), (-100, 30)]
+    assert found["01003"] == [(-98, 30), (-96, 30), (-96, 31), (-98, 31), (-98, 30)]
+    assert {(r.fips, r.name) for r in names.collect()} == {("01001", "West"), ("01003", "East")}
+    points = spark.createDataFrame([("1", 30.5, -99.0, "AL", "West", 1), ("2", 30.5, -97.0, "AL", "West", 2), ("3", 30.6, -98.5, "AL", "West", 3)], POINT)
+    west = rings.where("region = '01001'").withColumn("region", F.lit("AL::West"))
+    clipped, scope = Engine(points, str(tmp_path / "s"), providers=(lambda region: None, boundaries.table_provider(west))), Scope("county", "AL", "West")
+    assert sorted(r.row_pos for r in clipped.sample(scope, "all").collect()) == [1, 3] and clipped.boundary(scope).count() == 5
+    plain = Engine(points, str(tmp_path / "s"))
+    assert plain.sample(scope, "all").count() == 3 and plain.boundary(scope).count() == 4  # the padded triangle, closed
+    answers = spark.createDataFrame([(0, "node", "Point"), (1, "way", "Polygon"), (2, "relation", "MultiPolygon")], "pos int, osm_type string, type string")
+    assert boundaries.best_answer(answers).first().pos == 2 and boundaries.best_answer(answers.where("pos < 2")).first().pos == 1
+    (tmp_path / "f.geojson").write_text(json.dumps({"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}))
+    assert boundaries.read_features(spark, str(tmp_path / "f.geojson"), "x").count() == 4
+
+
+def test_coverage_by_method(spark):
+    rows = [("country", "", ""), ("state", "UT", ""), ("county", "UT", "b"), ("county", "UT", "a"), ("state", "NE", "")]
+    found = {r.method: r for r in method_coverage(spark.createDataFrame(rows, "zoom string, state string, county string")).collect()}
+    assert set(found) == {"all", "pixel", "random", "fps_threshold"} and found["all"].states == ["NE", "UT"] and found["all"].counties == {"NE": [], "UT": ["a", "b"]}
+    assert found["random"].retain_percentages == [3, 4, 26, 50] and found["all"].retain_percentages is None
+
+
 def test_reading_points(spark, tmp_path):
     (tmp_path / "p.csv").write_text("ID,Start_Lat,Start_Lng,State,County,City,Extra\nA-2,40.5,-100.25,NE,Lincoln,X,1\nA-1,,-100.0,NE,Lincoln,Y,2\n")
     points = P.with_row_pos(P.read_points(spark, str(tmp_path / "p.csv")))
