@@ -13,6 +13,7 @@ from pointlens.operators import curves, density, geometry, pixels, sampling, sco
 from pointlens.operators.fps import fps_order
 from pointlens.operators.pixels import Viewport
 from pointlens.plans import baselines
+from pointlens.sources import store
 from pointlens.sources.points import frame_signature, trim_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +146,20 @@ def frame_signatures(spark, sf_dir):
     return frame_signature(event_points(spark, sf_dir), "state").drop("content_hash")
 
 
+@query(f"""WITH {_view('customers')}, s AS (SELECT string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM p), m AS (SELECT unnest(['all', 'pixel', 'fps_threshold', 'random']) AS method)
+SELECT method, states, CASE WHEN method = 'random' THEN '3,4,26,50' END AS retain_percentages FROM s, m""")
+def method_coverage(spark, sf_dir):
+    found = scope.method_coverage(scope.all_scopes(customer_points(spark, sf_dir)))
+    return found.select("method", F.array_join("states", ",").alias("states"), F.array_join("retain_percentages", ",").alias("retain_percentages"))
+
+
+@query(f"WITH {_view('events')}, s AS (SELECT 'country' AS zoom, '' AS state, '' AS county UNION ALL SELECT DISTINCT 'state', state, '' FROM p UNION ALL SELECT DISTINCT 'county', state, county FROM p) SELECT zoom, state, county, CASE zoom WHEN 'country' THEN 'country' WHEN 'state' THEN state ELSE county || ', ' || state END AS label, (SELECT count(*) FROM p WHERE (s.zoom = 'country' OR p.state = s.state) AND (s.zoom <> 'county' OR p.county = s.county)) AS n FROM s")
+def scope_counts(spark, sf_dir):
+    """Every scope's points in one pass."""
+    points = scope.by_zoom(event_points(spark, sf_dir))
+    return points.groupBy("zoom", "state", "county").agg(F.count("*").alias("n")).withColumn("label", C.scope_label("zoom", "state", "county"))
+
+
 # Statistics and density ------------------------------------------------------------------------------------------------
 
 _SUMMARY = "round(avg(lat), 6) AS mean_lat, round(avg(lng), 6) AS mean_lng, round(stddev_pop(lat), 6) AS std_lat, round(stddev_pop(lng), 6) AS std_lng, round(CASE WHEN count(*) >= 2 THEN corr(lat, lng) END, 6) AS correlation, count(*) AS n"
@@ -297,6 +312,19 @@ _ARCS = [[(10, 10), (20, 0), (0, 20)], [(30, 30), (-20, 0), (0, -20)], [(30, 10)
 _USES = [("left", 0, 0, 0, 0), ("left", 0, 0, 1, 1), ("right", 0, 0, 0, 2)]
 
 
+@query(f"""WITH {_view('events')}, {_EDGES},
+h AS (SELECT row_pos, poly, ring, count(*) % 2 = 1 AS odd FROM p JOIN e ON region = 'hole' AND (py > lat) <> (cy > lat) AND lng < (cx - px) * (lat - py) / (CASE WHEN cy = py THEN 1e-12 ELSE cy - py END) + px GROUP BY ALL),
+q AS (SELECT row_pos FROM h WHERE odd GROUP BY row_pos, poly HAVING bool_or(ring = 0) AND NOT bool_or(ring > 0))
+SELECT row_pos, id FROM p WHERE row_pos IN (SELECT row_pos FROM q)""")
+def clip_to_boundary(spark, sf_dir):
+    return geometry.inside(event_points(spark, sf_dir), geometry.edges_of_rings(region_rings(spark)), "hole").select("row_pos", "id")
+
+
+@query(f"WITH {_view('events')} SELECT state, min(lng) AS west, min(lat) AS south, max(lng) AS east, max(lat) AS north FROM p GROUP BY state")
+def point_bounds(spark, sf_dir):
+    return geometry.point_bounds(event_points(spark, sf_dir), "state")
+
+
 @query("""WITH s AS (SELECT * FROM (VALUES (0, 0, 10, 10), (0, 1, 20, 0), (0, 2, 0, 20), (1, 0, 30, 30), (1, 1, -20, 0), (1, 2, 0, -20), (2, 0, 30, 10), (2, 1, 15, 0), (2, 2, 0, 20), (2, 3, -15, 0)) v(arc, pos, dx, dy))
 SELECT arc, pos, round(sum(dx) OVER w * CAST(0.25 AS DOUBLE) - 100, 6) AS lng, round(sum(dy) OVER w * CAST(0.5 AS DOUBLE) + 20, 6) AS lat FROM s WINDOW w AS (PARTITION BY arc ORDER BY pos)""")
 def topojson_decode(spark, sf_dir):
@@ -567,6 +595,28 @@ def county_queries(spark, sf_dir):
     return rows.select("state", "county", F.array_join(C.county_queries("state", "name", "county"), "|").alias("queries"))
 
 
+@query(f"""WITH {_view('customers')}, s AS (SELECT DISTINCT state, county FROM p), r AS (SELECT '/api/data?zoom=county&method=pixel&state=' || state || '&county=' || county AS route, state, county FROM s)
+SELECT substr(sha1(route), 1, 16) AS name, route, '{{"state":"' || state || '","path":"<data>/' || county || '"}}' AS payload FROM r""")
+def route_snapshots(spark, sf_dir):
+    rows = customer_points(spark, sf_dir).select("state", "county").distinct()
+    route = C.route_key("/api/data", [("zoom", F.lit("county")), ("method", F.lit("pixel")), ("state", F.col("state")), ("county", F.col("county"))])
+    rows = rows.select("state", F.concat(F.lit("/home/me/"), "county").alias("path"), route.alias("route"), F.lit("x").alias("cache_path"))
+    return store.snapshots(store.sanitized(rows, "/home/me"), "route", F.struct("state", "path"))
+
+
+@query("SELECT * FROM (VALUES (0, 0.5), (1, 2.0), (2, 4.0)) v(bin, centre)")
+def density_centres(spark, sf_dir):
+    edges = F.array(*[F.lit(x) for x in (0.0, 1.0, 3.0, 5.0)])
+    return spark.range(1).select(F.posexplode(C.bin_centres(edges)).alias("bin", "centre"))
+
+
+@query(f"WITH {_CURVE_SQL} SELECT scope, percentage, n_points FROM k WHERE percentage IN (1, 2, 5, 10, 100) AND percentage <> 2 UNION ALL SELECT scope, 2, n_points + 7 FROM k WHERE percentage = 2")
+def curve_available(spark, sf_dir):
+    curve = _literal_curve(spark)
+    partial = curve.where("percentage = 2").withColumn("n_points", F.col("n_points") + 7)
+    return curves.available(curve.unionByName(curve.where("percentage = 5").withColumn("percentage", F.lit(31))), partial, "state", "scope").select("scope", "percentage", "n_points")
+
+
 @query("SELECT * FROM (VALUES (1, true, 0.0), (2, false, 2.5), (3, true, 0.0)) v(n, close, finite)")
 def number_checks(spark, sf_dir):
     rows = spark.createDataFrame([(1, 1.0, 1.0 + 1e-13, float("nan")), (2, 1.0, 1.001, 2.5), (3, 0.0, 1e-16, float("inf"))], "n int, a double, b double, c double")
