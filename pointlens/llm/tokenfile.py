@@ -22,11 +22,14 @@ other columns are ignored. A text of any length is one document of one block.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ from pointlens.llm.common import text_slices
 
 SLICE_BYTES = 1 << 20
 BLOCK_TOKENS = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000  # bounds the memory of a task
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -55,8 +58,17 @@ def unpack(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
     return flags.reshape(n, bits) @ (np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32))
 
 
+#: Fixed value: the word pattern of the lower-casing vocabulary.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class WordEncoder:
-    """Encodes with the tokenizers library. Its words never span ASCII white space, so each such piece is encoded once per cache fill."""
+    """Encodes with the tokenizers library, each word once per cache fill.
+
+    The library's words never span ASCII white space, so a text is the sum of its pieces between it. Where the tokenizer lower-cases and
+    cuts by PIECES, a piece is the sum of its lower-case words; pieces that normalising could change otherwise are left to the library
+    as they are.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -64,30 +76,60 @@ class WordEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.cuts = self._cuts(json.loads(spec))
         self.cache: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
         self.border, self.border_id = special[0] if special else (None, None)
 
+    @staticmethod
+    def _cuts(spec: dict) -> bool:
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        patterns = [s["pattern"].get("Regex", "").replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") for s in steps if s["type"] == "Split"]
+        kinds = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        return patterns == [PIECES.pattern] and kinds == ["NFC", "Replace", "Lowercase"] and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+
+    def _parts(self, word: str) -> list[str]:
+        low = word.lower()
+        plain = self.cuts and "<|" not in low and low.isprintable()
+        if plain and not word.isascii():
+            plain = "Σ" not in word and "İ" not in word and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)
+        return PIECES.findall(low) if plain else [word]
+
     def _learn(self, words: list[bytes]) -> None:
-        """Encode new words in one call, with a special token between them; words that hold it go one by one."""
-        alone = [w for w in words if self.border is None or self.border.encode() in w]
-        joint = list(set(words) - set(alone))
-        if joint:
-            ids = np.array(self.library.encode_batch_fast([self.border.join(w.decode() for w in joint)], add_special_tokens=False)[0].ids, "<u4")
+        parts = [self._parts(w.decode()) for w in words]
+        new = list({p for ps in parts for p in ps} - self.words.keys())
+        alone = [w for w in new if self.border is None or self.border in w]
+        joint = [w for w in new if self.border is not None and self.border not in w]
+        if joint:  # one call, with a special token between the words
+            ids = np.array(self.library.encode_batch_fast([self.border.join(joint)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.border_id)
             data = ids.tobytes()
-            self.cache.update((w, data[4 * s : 4 * e]) for w, s, e in zip(joint, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]))
+            self.words.update((w, data[4 * s : 4 * e]) for w, s, e in zip(joint, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]))
         for w in alone:
-            self.cache[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            self.words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        self.cache.update((w, b"".join(map(self.words.__getitem__, ps))) for w, ps in zip(words, parts))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
         words = [t.split() for t in texts]
         self._learn(list(set().union(*words) - self.cache.keys()))
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), "<u4") for ws in words]
 
 
+_encoders: dict[str, WordEncoder] = {}  # a worker keeps its encoder for its next tasks
+
+
+def encoder_for(spec: str) -> WordEncoder:
+    if spec not in _encoders:
+        _encoders.clear()
+        _encoders[spec] = WordEncoder(spec)
+    return _encoders[spec]
+
+
 def vocabulary_bits(spec: str) -> int:
     from tokenizers import Tokenizer
 
@@ -130,7 +172,7 @@ def write_tokens(
 
         for batch in batches:
             for rows, texts in text_slices(batch, "_text", SLICE_BYTES):
-                encoder = encoder or WordEncoder(spec.value)
+                encoder = encoder or encoder_for(spec.value)
                 for i, own in enumerate(encoder.encode(texts.to_pylist())):
                     ids.append(np.concatenate([own, tail]))
                     owners.append(rows.column("_id").slice(i, 1))
