@@ -50,12 +50,14 @@ class BpeModel:
     tokens: dict[int, bytes]
     ranks: dict[tuple[int, int], tuple[int, int]]
     special: dict[str, int]
+    digest: str = ""
 
     @classmethod
     def load(cls, path: str) -> BpeModel:
         """Read a byte-level tokenizer file on the driver; what it holds goes to the tasks with the closure's broadcast."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            data = f.read()
+        spec = json.loads(data)
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         tokens = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
@@ -64,7 +66,7 @@ class BpeModel:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             ranks[vocab[left], vocab[right]] = (rank, vocab[left + right])
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        return cls(tokens | {i: t.encode() for t, i in special.items()}, ranks, special)
+        return cls(tokens | {i: t.encode() for t, i in special.items()}, ranks, special, sha256(data).hexdigest())
 
 
 class Encoder:
@@ -231,6 +233,16 @@ class Encoder:
         return ",".join(map(str, ids.tolist())).encode()
 
 
+_encoders: dict[str, Encoder] = {}  # a worker keeps its encoder, with what it has learned, for its next tasks
+
+
+def encoder_for(model: BpeModel) -> Encoder:
+    if model.digest not in _encoders:
+        _encoders.clear()
+        _encoders[model.digest] = Encoder(model)
+    return _encoders[model.digest]
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids (array of int) and decoded (the text that the ids stand for). tokenizer: path of a byte-level tokenizer file on the driver."""
     return _run(docs, tokenizer, id_col, text_col, "ids array<int>, decoded string", _whole)
@@ -261,7 +273,7 @@ def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, outputs: s
         encoder = None
         for batch in batches:
             for part, texts in text_slices(batch, "_text", SLICE_BYTES):
-                encoder = encoder or Encoder(model.value)
+                encoder = encoder or encoder_for(model.value)
                 ids = [np.frombuffer(x, "<i4") for x in encoder.encode([t.decode() for t in texts.to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *make(encoder, ids)], [id_col, *names])
 

@@ -104,3 +104,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
         *[(text if c == text_col else F.col(f"_doc.{c}")).alias(c) for c in names],
         F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(F.size(marked)).alias("n_removed"),
     )
+
+
+#: DuckDB: doc_id, text, n_removed of dedup_lines(documents) for distinct ids that are not null.
+ORACLE_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM split),
+worded AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS n FROM lines),
+placed AS (
+  SELECT *, row_number() OVER d AS i, sum(n) OVER d - n AS s, sum(n) OVER d AS e, sum(n) OVER d - n + 50 AS reach, sum(n) OVER d - 50 AS back
+  FROM worded WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+texts AS (SELECT doc_id, list(line ORDER BY i) AS ls, list(pos ORDER BY i) AS ps FROM placed GROUP BY doc_id),
+spans AS (
+  SELECT a.doc_id, a.i AS a, b.i AS b FROM placed a ASOF JOIN placed b ON a.doc_id = b.doc_id AND a.reach <= b.e
+  UNION
+  SELECT b.doc_id, a.i, b.i FROM placed b ASOF JOIN placed a ON a.doc_id = b.doc_id AND b.back >= a.s),
+runs AS (SELECT doc_id, a, ls[a:b] AS run, ps[a] AS low, ps[b] AS high FROM spans JOIN texts USING (doc_id)),
+firsts AS (SELECT run, min({'d': doc_id, 'a': a}) AS first FROM runs GROUP BY run HAVING count(*) > 1),
+later AS (SELECT DISTINCT doc_id, low, high FROM runs JOIN firsts USING (run) WHERE {'d': doc_id, 'a': a} > first),
+gone AS (SELECT doc_id, list(DISTINCT pos) AS p FROM (SELECT doc_id, unnest(range(low, high + 1)) AS pos FROM later) GROUP BY doc_id)
+SELECT d.doc_id,
+       CASE WHEN p IS NULL THEN d.text
+            ELSE array_to_string(list_transform(list_filter(range(0, len(l)), lambda i: NOT list_contains(p, i)), lambda i: l[i + 1]), chr(10)) END AS text,
+       CAST(coalesce(len(p), 0) AS INTEGER) AS n_removed
+FROM documents d LEFT JOIN split USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

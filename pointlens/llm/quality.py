@@ -216,3 +216,33 @@ def keep_good(docs: DataFrame, trusted: DataFrame, rules: QualityRules = Quality
                 yield part.filter(pa.array(_judge(texts, model.value, rules)["kept"]))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+#: DuckDB: score_documents(documents) with labels of quality 1 as trusted, for distinct ids that are not null; the score rounded to six digits.
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+bytes AS (SELECT doc_id, regexp_extract_all(hex(encode(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))), '..') AS h FROM t),
+single AS (SELECT doc_id, unnest(h) AS x, unnest(range(0, len(h))) AS i FROM bytes),
+grams AS (SELECT doc_id, x || lead(x) OVER d || lead(x, 2) OVER d AS g FROM single WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+buckets AS (SELECT doc_id, CAST('0x' || g AS BIGINT) * 2654435761 % 4294967296 // 65536 AS b, count(*) AS n FROM grams WHERE g IS NOT NULL GROUP BY ALL),
+counts AS (SELECT b, sum(n) AS raw, coalesce(sum(n) FILTER (g.doc_id IS NOT NULL), 0) AS target FROM buckets k LEFT JOIN good g ON k.doc_id = g.doc_id GROUP BY b),
+sums AS (SELECT sum(raw) AS r, sum(target) AS g FROM counts),
+model AS (SELECT b, CASE WHEN g = 0 THEN 0 ELSE CAST(round((ln((target + 1) / (g + 65536)) - ln((raw + 1) / (r + 65536))) * 1048576) AS BIGINT) END AS v FROM counts, sums),
+scores AS (SELECT doc_id, CAST(sum(v * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) / 1048576 AS score FROM buckets JOIN model USING (b) GROUP BY doc_id),
+listed AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM t),
+words AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars FROM listed),
+windows AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3))) AS i FROM listed)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY doc_id),
+base AS (
+  SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(score, 0) AS score
+  FROM t JOIN words USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN scores USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score >= -0.5 AS kept, round(score, 6) AS score
+FROM base
+"""

@@ -26,7 +26,7 @@ def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(table(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir))
+    return quality.score_documents(table(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_top_k, op3_line_dedup, op4_bpe, op5_simhash, op6_mix_sources, op7_license_scan, op8_secret_scan, op9_html_text, op10_token_files)}
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality.ORACLE_SQL,
     "op2_top_k": topk.ORACLE_SQL,
+    "op3_line_dedup": linededup.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
     "op8_secret_scan": secrets.ORACLE_SQL,
 }

@@ -153,7 +153,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     trigrams = sorted({t for q in queries.values() for clause in q for alternative in clause for t in alternative})
     if queries:
         index = checkpoint(postings(keyed, trigrams))
-        hits = candidates(index, queries)
+        hits = checkpoint(candidates(index, queries))  # a table of its own, so that Spark can split a document that is repeated often
         keyed = keyed.join(hits, F.col("_id").eqNullSafe(F.col("_c_id")) & (F.col("_hash") == F.col("_c_hash")), "left")
     arrays = []
     for number, rule in enumerate(rules):

@@ -225,16 +225,18 @@ def _top_k_of_length(rows: DataFrame, dim: int, n: int, is_query: Column, k: int
         return pa.table({"_tree": pa.array([key[0].as_py()], pa.int32()), "_tree_data": pa.array([_save(**tree)], pa.binary())})
 
     trees = checkpoint(numbered.groupBy("_tree").applyInArrow(build, "_tree int, _tree_data binary"))
-    n_queries = dealt.where(is_query).count()
-    if not n_queries:
+    asked = dealt.where(is_query)
+    blocks = {r._cell: -(-r["count"] // BLOCK_QUERIES) for r in asked.groupBy("_cell").count().collect()}
+    if not blocks:
         return dealt.sparkSession.createDataFrame([], RESULT)
-    asked = dealt.where(is_query).withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(-(-n_queries // BLOCK_QUERIES))))
+    # queries of a cell travel together: they are near each other, so bounds that spare a page spare it for most of a block
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("_row"), in_cell(blocks)))
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         data = _save(row=table["_row"].to_numpy(), ids=table["_id"].to_numpy(), rows=_matrix(table["_vec"], dim))
         return pa.table({"_block_data": pa.array([data], pa.binary())})
 
-    packed = checkpoint(asked.groupBy("_block").applyInArrow(pack, "_block_data binary"))
+    packed = checkpoint(asked.groupBy("_cell", "_block").applyInArrow(pack, "_block_data binary"))
     meet = packed.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))).join(trees, F.col("_of") == F.col("_tree")).select("_block_data", "_tree_data")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,7 +56,7 @@ def compare(found, expected):
 def test_query_equals_brute_force(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
-    compare(op1_quality_rules(spark, sf_dir).collect(), brute(docs, good, QualityRules()))
+    compare(op1_quality_rules(spark, sf_dir).collect(), brute(docs, good, QualityRules()))  # and against SQL in test_sql
 
 
 def test_labelled_documents_are_told_apart(spark, sf_dir):
