@@ -81,6 +81,12 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
         self.border, self.border_id = special[0] if special else (None, None)
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.ends = None  # which tokens end a word
+        if suffix and self.cuts:
+            vocabulary = self.library.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @staticmethod
     def _cuts(spec: dict) -> bool:
@@ -91,24 +97,48 @@ class WordEncoder:
 
     def _parts(self, word: str) -> list[str]:
         low = word.lower()
+        ascii_only = word.isascii()
+        if self.cuts and ascii_only and low.isalpha():
+            return [low]
         plain = self.cuts and "<|" not in low and low.isprintable()
-        if plain and not word.isascii():
+        if plain and not ascii_only:
             plain = "Σ" not in word and "İ" not in word and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)
         return PIECES.findall(low) if plain else [word]
 
-    def _learn(self, words: list[bytes]) -> None:
-        parts = [self._parts(w.decode()) for w in words]
-        new = list({p for ps in parts for p in ps} - self.words.keys())
-        alone = [w for w in new if self.border is None or self.border in w]
-        joint = [w for w in new if self.border is not None and self.border not in w]
-        if joint:  # one call, with a special token between the words
-            ids = np.array(self.library.encode_batch_fast([self.border.join(joint)], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Learn words in one call of the library.
+
+        Words that are cut by PIECES are set apart by spaces, and each one ends with the only token that ends a word. Should that not come out
+        even, or without such tokens, a special token is put between the words; words that hold it go one by one.
+        """
+        if self.ends is not None and PIECES.fullmatch(words[0]):
+            ids = self._ids(" ".join(words))
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(words):
+                data = ids.tobytes()
+                self.words.update(zip(words, [data[4 * s : 4 * e] for s, e in zip([0, *at[:-1].tolist()], at.tolist())]))
+                return
+        joint = [w for w in words if self.border is not None and self.border not in w]
+        if joint:
+            ids = self._ids(self.border.join(joint))
             at = np.flatnonzero(ids == self.border_id)
             data = ids.tobytes()
-            self.words.update((w, data[4 * s : 4 * e]) for w, s, e in zip(joint, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]))
-        for w in alone:
-            self.words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        self.cache.update((w, b"".join(map(self.words.__getitem__, ps))) for w, ps in zip(words, parts))
+            self.words.update(zip(joint, [data[4 * s : 4 * e] for s, e in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]))
+        for w in set(words) - set(joint):
+            self.words[w] = self._ids(w).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        parts = [self._parts(w.decode()) for w in words]
+        new = {p for ps in parts for p in ps} - self.words.keys()
+        cut = [p for p in new if PIECES.fullmatch(p)] if self.ends is not None else []
+        for group in (cut, list(new - set(cut))):
+            if group:
+                self._encode_words(group)
+        known = self.words
+        self.cache.update(zip(words, [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_WORDS:
