@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointlens.sources.shared import checkpoint, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "checkpoint", "shared_dir", "small", "table", "text_slices"]
+__all__ = ["BROADCAST_ROWS", "checkpoint", "quoted", "shared_dir", "small", "table", "text_slices"]
 
 #: A side of a join is broadcast only when its counted rows stay below this.
 BROADCAST_ROWS = 1_000_000
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, df itself otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

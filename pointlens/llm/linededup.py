@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlens.llm.common import checkpoint, text_slices
+from pointlens.llm.common import checkpoint, quoted, text_slices
 
 SLICE_BYTES = 1 << 20
 MIN_WORDS = 50
@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """docs with repeated runs deleted from their texts, and n_removed (int), the number of deleted lines."""
     names = [c for c in docs.columns if c != "n_removed"]
     keyed = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("_text"), F.struct(*names).alias("_doc")
+        F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("_text"), F.struct(*map(quoted, names)).alias("_doc")
     )
     spans = checkpoint(repeated_spans(keyed, min_words))
     found = keyed.drop("_text").join(spans, F.col("_id").eqNullSafe(F.col("_r_id")) & (F.col("_hash") == F.col("_r_hash")), "left")
@@ -101,7 +101,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marked)
     text = F.when(F.col("_spans").isNull(), F.col(f"_doc.{text_col}")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     return found.select(
-        *[(text if c == text_col else F.col(f"_doc.{c}")).alias(c) for c in names],
+        *[(text if c == text_col else F.col(f"_doc.{quoted(c)}")).alias(c) for c in names],
         F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(F.size(marked)).alias("n_removed"),
     )
 

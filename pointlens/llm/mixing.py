@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlens.llm.common import checkpoint, small
+from pointlens.llm.common import checkpoint, quoted, small
 
 PART_RATE = 64.0
 COPY, KEY = "copy", "shuffle_key"
@@ -74,7 +74,7 @@ def mix(
     rates = checkpoint(_with_distribution(source_rates(docs, weights, alpha, source_col, text_col)))
     names = [c for c in docs.columns if c not in (COPY, KEY)]
     ident = F.coalesce(F.col(f"_doc.{id_col}").cast("string"), F.md5(F.coalesce(F.col(f"_doc.{text_col}"), F.lit(""))))
-    held = docs.select(F.struct(*names).alias("_doc")).withColumn("_ident", ident)
+    held = docs.select(F.struct(*map(quoted, names)).alias("_doc")).withColumn("_ident", ident)
     joined = held.join(small(rates), F.col(f"_doc.{source_col}").eqNullSafe(F.col("_source")))
     below = lambda u: F.size(F.filter("_cdf", lambda c: c < u))
     copies = F.aggregate(
@@ -85,7 +85,7 @@ def mix(
     many = joined.select("_doc", "_ident", copies.alias("_n")).where("_n > 0").select("_doc", "_ident", F.explode(F.sequence(F.lit(1), "_n")).alias(COPY))
     keyed = many.withColumn(KEY, F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), "_ident", F.col(COPY).cast("string"))))
     dealt = keyed.repartition(F.col(KEY)).sortWithinPartitions(KEY)
-    return dealt.select(*[F.col(f"_doc.{c}").alias(c) for c in names], COPY, KEY)
+    return dealt.select(*[F.col(f"_doc.{quoted(c)}").alias(c) for c in names], COPY, KEY)
 
 
 #: DuckDB: mix(documents) with its default parameters.

@@ -59,4 +59,5 @@ def test_long_passages_go_and_clean_texts_stay(spark):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string, n int")).columns == ["doc_id", "text", "n", "n_removed"]
+    assert dedup_lines(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, `a.b c` int")).columns == ["doc_id", "text", "a.b c", "n_removed"]
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []

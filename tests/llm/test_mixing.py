@@ -37,8 +37,8 @@ def test_rates_far_above_one_part(spark):
 
 def test_edges(spark):
     rows = [(None, "a", "s"), (None, "b", "s"), (1, None, None), (2, "", "s"), (2, "", "s"), (3, "x" * 100000, "t")]
-    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, copy string")
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, source string, copy string, `a.b c` int")
     out = mix(docs)
-    assert out.columns == ["doc_id", "text", "source", "copy", "shuffle_key"] and dict(out.dtypes)["copy"] == "int"
+    assert out.columns == ["doc_id", "text", "source", "a.b c", "copy", "shuffle_key"] and dict(out.dtypes)["copy"] == "int"
     assert sum(r.doc_id == 2 for r in out.collect()) % 2 == 0
     assert mix(docs.limit(0)).collect() == []
