@@ -107,7 +107,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Of each group the row with the smallest id (nulls last, then by the text's hash), with all its columns."""
     rows = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    groups = _groups(rows)
+    return one_of_each(docs, rows, _groups(rows), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that keep_one() keeps. rows: _id, _hash, _fp of docs; groups: fp, component."""
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
     per_fp = rows.groupBy("_fp").agg(F.min(order).alias("best"))  # few rows for a group of copies
     best = per_fp.join(groups, F.col("_fp") == F.col("fp")).groupBy("component").agg(F.min("best").alias("best"))
