@@ -452,7 +452,7 @@ def diagram_axes(spark, sf_dir):
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.error_curve(vector_points(spark, sf_dir), "state", "state", percentages=[1, 2, 5, 10, 20, 30, 50, 80, 100])
+    return curves.error_curve(vector_points(spark, sf_dir), "state", "state")
 
 
 @query()

@@ -158,6 +158,13 @@ def test_curve_ends_at_zero(spark, sf_dir):
     assert all(r.bottleneck_h0 <= r.wasserstein_h0 + 1e-12 for r in rows)
 
 
+def test_registered_curves_have_all_percentages(spark, sf_dir):
+    found = {}
+    for r in QUERIES["error_curve"](spark, sf_dir).select("state", "percentage").collect():
+        found.setdefault(r.state, []).append(r.percentage)
+    assert found and all(sorted(p) == sampling.configured("state") for p in found.values())
+
+
 def test_selection_takes_the_first_row_within(spark):
     rows = [(2, 5, 1.0), (5, 9, 0.4), (10, 20, 0.9), (20, 40, 0.2)]
     curve = spark.createDataFrame([(p, n, v, 0.0, v, 0.0) for p, n, v in rows], "percentage int, n_points int, " + ", ".join(f"{m} double" for m in topology.METRICS))
