@@ -1,7 +1,9 @@
+import json
 import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -22,29 +24,52 @@ def encoder():
     return bpe.Encoder(bpe.BpeModel.load(PATH))
 
 
+def encoded(encoder, texts):
+    return encoder.encode(pa.array(texts, pa.large_string()))
+
+
 def test_encodes_and_decodes_like_the_library(library, encoder):
     rng = random.Random(6)
     texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(1500)]
     texts += ["".join(rng.choices("etaoinshrdlu ETAO", k=rng.randint(1, 60))) for _ in range(1500)] + ["ab" * 5000, " ", "  x", "x  ", ""]
-    for text, ids in zip(texts, encoder.encode(texts)):
-        ids, expected = np.frombuffer(ids, "<i4"), library.encode(text, add_special_tokens=False).ids
+    texts += ["".join(rng.choices("etaoinshrdlu", k=bpe.LONG_WORD + rng.randint(-5, 60))) for _ in range(100)]
+    found = encoded(encoder, texts)
+    for text, ids, decoded, id_text in zip(texts, found, encoder.decode(found), encoder.id_texts(found)):
+        expected = library.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == expected
-        assert encoder.decode(ids).decode() == library.decode(expected, skip_special_tokens=False)
-    assert 0 < encoder.merged < len(encoder.words)  # some words needed exact merging, not all
+        assert decoded.decode() == library.decode(expected, skip_special_tokens=False)
+        assert bytes(id_text).decode() == ",".join(map(str, expected))
+    assert 0 < encoder.merged < len(encoder.young)  # some words needed exact merging, not all
+
+
+def test_code_table_finds_what_is_there():
+    rng = np.random.default_rng(1)
+    codes = rng.choice(1 << 40, 5000, replace=False)
+    table = bpe.CodeTable(codes[:4000])
+    assert table.find(codes).tolist() == [*range(4000), *[-1] * 1000]
+    assert bpe.CodeTable(codes[:0]).find(codes).max() == -1
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}])
+def test_refuses_other_tokenizers(tmp_path, change):
+    spec = json.loads(open(PATH, encoding="utf-8").read()) | change
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="supported"):
+        bpe.BpeModel.load(str(tmp_path / "other.json"))
 
 
 def test_decodes_broken_bytes_like_the_library(library, encoder):
     rng = random.Random(7)
     for _ in range(300):
         ids = [rng.randrange(50257) for _ in range(rng.randint(0, 6))]
-        assert encoder.decode(np.array(ids, np.int64)).decode() == library.decode(ids, skip_special_tokens=False)
+        assert encoder.decode([np.array(ids, np.int64)])[0].decode() == library.decode(ids, skip_special_tokens=False)
 
 
 def test_cache_refills(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
     encoder = bpe.Encoder(bpe.BpeModel.load(PATH))
     for text in ("one two three four", "five six one two", "seven"):
-        assert np.frombuffer(encoder.encode([text])[0], "<i4").tolist() == library.encode(text).ids
+        assert encoded(encoder, [text])[0].tolist() == library.encode(text).ids
 
 
 def test_query(spark, sf_dir, library):
