@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 
 from pointlens.llm.common import text_slices
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 23
 BLOCK_TOKENS = 1 << 16
-CACHE_WORDS = 500_000  # bounds the memory of a task
+CACHE_WORDS = 250_000  # of a generation; bounds the memory of a task
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -60,94 +61,125 @@ def unpack(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 
 #: Fixed value: the word pattern of the lower-casing vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_BETWEEN = regex.compile(PIECES.pattern + "| ")  # the same over pieces with single spaces between them
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library, each word once per cache fill.
+    """Encodes with the tokenizers library, each word once while it is remembered.
 
     The library's words never span ASCII white space, so a text is the sum of its pieces between it. Where the tokenizer lower-cases and
-    cuts by PIECES, a piece is the sum of its lower-case words; pieces that normalising could change otherwise are left to the library
-    as they are.
+    cuts by PIECES, a piece is the sum of its lower-case words, which go to the library's model without being normalised and cut again;
+    pieces that normalising could change otherwise are left to the library as they are.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
+        parsed = json.loads(spec)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        suffix = parsed["model"].get("end_of_word_suffix")
+        self.cuts = bool(suffix) and self._cuts(parsed)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # which tokens end a word
+        if self.cuts:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            letters = parsed["pre_tokenizer"]["pretokenizers"][-1]
+            bare = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, letters]}, "added_tokens": []}
+            self.model = Tokenizer.from_str(json.dumps(parsed | bare))
+            self.model.no_truncation()
+            self.model.no_padding()
         self.library.no_truncation()
         self.library.no_padding()
-        self.cuts = self._cuts(json.loads(spec))
-        self.cache: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
         special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
         self.border, self.border_id = special[0] if special else (None, None)
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
-        self.ends = None  # which tokens end a word
-        if suffix and self.cuts:
-            vocabulary = self.library.get_vocab(with_added_tokens=True)
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.young: dict[str, bytes] = {}  # ids of pieces; two generations, so that those that come again stay
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def _cuts(spec: dict) -> bool:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         patterns = [s["pattern"].get("Regex", "").replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") for s in steps if s["type"] == "Split"]
         kinds = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
-        return patterns == [PIECES.pattern] and kinds == ["NFC", "Replace", "Lowercase"] and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
-
-    def _parts(self, word: str) -> list[str]:
-        low = word.lower()
-        ascii_only = word.isascii()
-        if self.cuts and ascii_only and low.isalpha():
-            return [low]
-        plain = self.cuts and "<|" not in low and low.isprintable()
-        if plain and not ascii_only:
-            plain = "Σ" not in word and "İ" not in word and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)
-        return PIECES.findall(low) if plain else [word]
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _encode_words(self, words: list[str]) -> None:
-        """Learn words in one call of the library.
-
-        Words that are cut by PIECES are set apart by spaces, and each one ends with the only token that ends a word. Should that not come out
-        even, or without such tokens, a special token is put between the words; words that hold it go one by one.
-        """
-        if self.ends is not None and PIECES.fullmatch(words[0]):
-            ids = self._ids(" ".join(words))
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(words):
-                data = ids.tobytes()
-                self.words.update(zip(words, [data[4 * s : 4 * e] for s, e in zip([0, *at[:-1].tolist()], at.tolist())]))
-                return
-        joint = [w for w in words if self.border is not None and self.border not in w]
+        bytewise = [s["type"] for s in steps][-1:] == ["ByteLevel"]
+        return patterns == [PIECES.pattern] and bytewise and kinds == ["NFC", "Replace", "Lowercase"] and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+
+    def _plain(self, piece: str) -> bool:
+        """Whether normalising a piece is lower-casing it."""
+        if not self.cuts or "<|" in piece or not piece.isprintable():
+            return False
+        if piece.isascii():
+            return True
+        return "Σ" not in piece and "İ" not in piece and unicodedata.is_normalized("NFC", piece) and unicodedata.is_normalized("NFC", piece.lower())
+
+    def _ids(self, library, text: str) -> np.ndarray:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words, in one call of the library: set apart by spaces, each one ends with the only token that ends a word."""
+        ids = self._ids(self.model, " ".join(words))
+        at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(at) != len(words):
+            raise RuntimeError("the tokenizer's words do not end as its file says")
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *at], at)]
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of any pieces, set apart by a special token in one call; those that hold it go one by one."""
+        joint = [p for p in pieces if self.border is not None and self.border not in p]
+        out = {p: self._ids(self.library, p).tobytes() for p in set(pieces).difference(joint)}
         if joint:
-            ids = self._ids(self.border.join(joint))
-            at = np.flatnonzero(ids == self.border_id)
+            ids = self._ids(self.library, self.border.join(joint))
+            at = (4 * np.flatnonzero(ids == self.border_id)).tolist()
             data = ids.tobytes()
-            self.words.update(zip(joint, [data[4 * s : 4 * e] for s, e in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]))
-        for w in set(words) - set(joint):
-            self.words[w] = self._ids(w).tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        parts = [self._parts(w.decode()) for w in words]
-        new = {p for ps in parts for p in ps} - self.words.keys()
-        cut = [p for p in new if PIECES.fullmatch(p)] if self.ends is not None else []
-        for group in (cut, list(new - set(cut))):
-            if group:
-                self._encode_words(group)
+            out |= zip(joint, [data[s:e] for s, e in zip([0, *(a + 4 for a in at)], [*at, len(data)])])
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        whole = [p for p in pieces if self.cuts and p.isascii() and p.isalpha()]  # one word each
+        other = [p for p in pieces if not (self.cuts and p.isascii() and p.isalpha())]
+        cut = [p for p in other if self._plain(p)]
+        words = _BETWEEN.findall(" ".join(cut).lower())
+        border = np.flatnonzero(np.fromiter((w == " " for w in words), bool, len(words))).tolist()
+        parts = [words[s:e] for s, e in zip([0, *(b + 1 for b in border)], [*border, len(words)])] if cut else []
+        lower = [p.lower() for p in whole]
         known = self.words
-        self.cache.update(zip(words, [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        words = [t.split() for t in texts]
-        self._learn(list(set().union(*words) - self.cache.keys()))
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), "<u4") for ws in words]
+        new = [w for w in dict.fromkeys([*lower, *words]) if w not in known and w != " "]
+        if new:
+            known.update(zip(new, self._encode_words(new)))
+        self.young.update(zip(whole, map(known.__getitem__, lower)))
+        self.young.update(zip(cut, [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]))
+        self.young.update(self._encode_pieces(list(set(other).difference(cut))))
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        new = []
+        for p in pieces:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        if new:
+            if len(self.words) > CACHE_WORDS:
+                self.words = {}
+            self._learn(new)
+        found = [*map(young.__getitem__, pieces)]
+        if len(young) > CACHE_WORDS:
+            self.young, self.old = {}, young
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a LargeBinary or LargeString array without nulls: each different piece of the slice is looked up once."""
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(cut.values.slice(ends[0], ends[-1] - ends[0]))
+        entries = pa.array(self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        taken = entries.take(coded.indices)
+        offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+        stops = (offsets[ends - ends[0]] // 4).tolist()
+        return [ids[s:e] for s, e in zip(stops, stops[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}  # a worker keeps its encoder for its next tasks
@@ -203,7 +235,7 @@ def write_tokens(
         for batch in batches:
             for rows, texts in text_slices(batch, "_text", SLICE_BYTES):
                 encoder = encoder or encoder_for(spec.value)
-                for i, own in enumerate(encoder.encode(texts.to_pylist())):
+                for i, own in enumerate(encoder.encode(texts)):
                     ids.append(np.concatenate([own, tail]))
                     owners.append(rows.column("_id").slice(i, 1))
                     held += len(ids[-1])

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -30,7 +31,7 @@ def test_encodes_like_the_library(library):
     rng = random.Random(5)
     texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(3000)]
     with open(PATH, encoding="utf-8") as f:
-        found = tokenfile.WordEncoder(f.read()).encode([t.encode() for t in texts])
+        found = tokenfile.WordEncoder(f.read()).encode(pa.array(texts, pa.large_string()))
     assert [f.tolist() for f in found] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
