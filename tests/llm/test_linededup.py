@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from pointlens.llm.linededup import dedup_lines
+from pointlens.llm.linededup import dedup_lines, extend, fingerprints, winnow, winnowed
 from pointlens.llm.queries import op3_line_dedup
 
 
@@ -36,8 +37,25 @@ def test_random_documents(spark):
     for least in (3, 8):
         texts = ["\n".join(rng.choice(["", "a b", "c", "d e f g", "h i", " ", "j k l", "m"]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_removed", F.lit("clash")).repartition(3)
-        found = {r.doc_id: r.text for r in dedup_lines(docs, least).collect()}
-        assert [found[i] for i in range(len(texts))] == brute(texts, least)
+        for paired in (1, 8, 1000):  # all hashes crowded, some, none
+            found = {r.doc_id: r.text for r in dedup_lines(docs, least, paired=paired).collect()}
+            assert [found[i] for i in range(len(texts))] == brute(texts, least)
+
+
+def test_fewer_fingerprints_than_windows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_hash"), F.col("text").alias("_text"))
+    documents = winnowed(docs, 50).persist()
+    n_windows = documents.agg(F.sum(F.size("digest"))).first()[0]
+    assert 0 < fingerprints(documents).count() < n_windows
+    short_lines = "\n".join(f"{i} of" for i in range(400)).encode()
+    _, _, start, _, pick, _ = winnow(short_lines, 50)
+    assert 5 * len(set(pick)) < len(start)  # windows of 25 lines share their minima
+
+
+def test_matches_grow_both_ways_until_lines_differ():
+    later, earlier = np.array([9, 1, 2, 3, 4, 8, 1, 2]), np.array([1, 2, 3, 4, 7, 1, 2, 3])
+    assert extend(later, earlier, [(2, 1), (3, 2), (7, 1)]) == [(1, 4), (6, 7)]
+    assert extend(later, earlier, [(1, 5)]) == [(1, 3)]
 
 
 def test_query_equals_brute_force(spark, sf_dir):
