@@ -1,7 +1,10 @@
+import random
 import re
 from html import unescape
 
-from pointlens.llm.html import extract, extract_text
+import numpy as np
+
+from pointlens.llm.html import extract, extract_text, runs_of
 from pointlens.llm.queries import op9_html_text
 
 
@@ -42,3 +45,82 @@ def test_edges(spark):
     found = {(r.page_id, r.url): r.text for r in extract(pages).collect()}
     assert found[1, None] == found[2, "u"] == found[5, "u"] == "" and found[None, "u"] == "x" and found[3, "u"] == "plain" and found[4, "u"] == ("y " * 200000).strip()
     assert extract(pages).count() == len(rows) and extract(pages.limit(0)).collect() == []
+
+
+LONG = "This is a paragraph of running text that is long enough to be told from a label or a caption, one should think."
+
+
+def test_wrappers_are_no_surroundings():
+    for name in ("content has-sidebar", "layout with-sidebar", "page no-footer", "commentary", "commentator-text"):
+        assert extract_text(f"<div class='{name}'><p>{LONG}</p><p>The end.</p></div>") == f"{LONG}\n\nThe end."
+    assert extract_text(f"<form action='/'><p>{LONG}</p><p>{LONG}</p><input></form>") == f"{LONG}\n\n{LONG}"
+    assert extract_text(f"<div class='widget'><h1>Head</h1><p>{LONG}</p></div><div class='widget'><p>{LONG}</p></div>") == f"Head\n\n{LONG}"
+    assert extract_text(f"<div class='sidebar-page'><article><p>{LONG}</p></article></div>") == LONG
+    assert extract_text(f"<div id='comments'><article><p>{LONG}</p></article></div><article><p>Text.</p></article>") == "Text."
+
+
+def test_attribute_values_are_not_names():
+    assert extract_text(f"<p title='the hidden truth'>{LONG}</p><p data-x=hidden>b</p><p hidden>c</p><p hidden='hidden'>d</p>") == f"{LONG}\n\nb"
+
+
+def test_articles_side_by_side_and_teasers():
+    assert extract_text(f"<article><p>{LONG}</p></article><article><p>Second.</p></article>") == f"{LONG}\n\nSecond."
+    body = "\n\n".join([LONG] * 4)
+    page = "<article><a href='/x'>Read this, too, it is about something else</a></article><div>" + f"<p>{LONG}</p>" * 4 + "</div>"
+    assert extract_text(page) == body
+
+
+def test_unclosed_choice_list():
+    assert extract_text(f"<select><option>one<option>two<p>{LONG}</p>") == LONG
+    assert extract_text(f"<div><select><option>one</div><p>{LONG}</p>") == LONG
+
+
+def test_link_paragraphs_and_link_lists():
+    link = "<p><a href='/a'>A paragraph that is one link and nothing else</a></p>"
+    menu = "".join(f"<li><a href='/{i}'>Entry number {i}</a></li>" for i in range(5))
+    assert extract_text(f"<p>{LONG}</p>{link}<p>{LONG}</p>").count("one link") == 1
+    assert extract_text(f"<p>{LONG}</p>{link}").endswith("nothing else")
+    for page in (f"<p>{LONG}</p><ul>{menu}</ul>", f"<article><p>{LONG}</p><ul>{menu}</ul></article>", f"<article><p>{LONG}</p><ul>{menu}</ul><p>x</p></article>"):
+        assert "Entry" not in extract_text(page)
+        assert LONG in extract_text(page)
+
+
+def test_the_window_decides():
+    two = "".join(f"<li><a href='/{i}'>Entry number {i}</a></li>" for i in range(2))
+    page = f"<article><p>{LONG}</p><ul>{two}</ul><p>The end.</p></article>"
+    assert "Entry number 1" in extract_text(page) and "Entry number 1" not in extract_text(page, window=1)
+    assert "Entry number 1" not in extract_text(page, window=2) and extract_text(page).endswith("The end.")
+    small = f"<div>Label</div><div><a>x</a></div><div><a>x</a></div><div><a>x</a></div><p>{LONG}</p>"
+    assert extract_text(small) == LONG and extract_text(small, surge=1) == f"Label\n\n{LONG}" and extract_text(small, window=50).startswith("Label")
+
+
+def test_closing_section_behind_an_advert():
+    page = f"<div><p>{LONG * 50}</p><div class='ad'>Buy this.</div><p>{LONG}</p><aside>Note</aside><p>Bye.</p></div>"
+    assert extract_text(page) == f"{LONG * 50}\n\n{LONG}\n\nBye."
+
+
+def test_short_pages_are_kept():
+    assert extract_text("<div class='menu'><a>m</a></div><p>Hello.</p><footer>f</footer>") == "Hello."
+
+
+def brute_runs(weights, window, surge):
+    """Every line from the first weight on that has a surge before or behind it without a whole empty window between."""
+    n = len(weights)
+    total = lambda i: sum(weights[i : i + window])
+    top = max(map(total, range(n)), default=0)
+    kept = []
+    for i in range(n):
+        together = [s for s in range(n) if total(s) >= min(surge, top) and all(total(k) for k in range(min(i, s), max(i, s) + 1))]
+        back = [k for k in range(i + 1) if all(total(x) for x in range(k, i + 1))]
+        if top and together and any(weights[k] for k in back):
+            kept.append(i)
+    return kept
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(2000):
+        weights = [rng.choice([0, 0, 0, 1, 5, 40, 90]) for _ in range(rng.randint(0, 25))]
+        window, surge = rng.choice([1, 2, 3, 5]), rng.choice([1, 30, 86, 500])
+        found = [i for s, e in runs_of(np.array(weights, np.int64), window, surge) for i in range(s, e)]
+        assert found == brute_runs(weights, window, surge)
