@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlens.llm.common import checkpoint, text_slices
+from pointlens.llm.common import checkpoint, quoted, small, text_slices
 from pointlens.llm.graph import connected_components
 
 SLICE_BYTES = 1 << 20
@@ -115,10 +115,12 @@ def one_of_each(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
     per_fp = rows.groupBy("_fp").agg(F.min(order).alias("best"))  # few rows for a group of copies
     best = per_fp.join(groups, F.col("_fp") == F.col("fp")).groupBy("component").agg(F.min("best").alias("best"))
-    winners = checkpoint(best.select(F.col("best.id").alias("_win_id"), F.col("best.hash").alias("_win_hash")))
-    text_hash = F.xxhash64(F.coalesce(F.col(f"_doc.{text_col}"), F.lit("")))
-    whole = docs.select(F.struct("*").alias("_doc")).withColumn("_id", F.col(f"_doc.{id_col}")).withColumn("_hash", text_hash)
-    kept = whole.join(winners, F.col("_id").eqNullSafe(F.col("_win_id")) & (F.col("_hash") == F.col("_win_hash")), "left_semi")
+    by_fp = groups.join(best, "component").select("fp", "best")
+    losers = rows.join(by_fp, F.col("_fp") == F.col("fp")).where(order > F.col("best")).select(F.col("_id").alias("_lose_id"), F.col("_hash").alias("_lose_hash")).distinct()
+    losers = small(checkpoint(losers))
+    text_hash = F.xxhash64(F.coalesce(F.col(f"_doc.{quoted(text_col)}"), F.lit("")))
+    whole = docs.select(F.struct("*").alias("_doc")).withColumn("_id", F.col(f"_doc.{quoted(id_col)}")).withColumn("_hash", text_hash)
+    kept = whole.join(losers, F.col("_id").eqNullSafe(F.col("_lose_id")) & (F.col("_hash") == F.col("_lose_hash")), "left_anti")
     if not rows.groupBy("_id", "_hash").count().where("count > 1").isEmpty():  # one of rows that share id and text
         kept = kept.dropDuplicates(["_id", "_hash"])
     return kept.select("_doc.*")
