@@ -7,7 +7,8 @@ exploded and dealt out by a hash of seed, document and copy, which is also the o
 
 Rates above `part_rate` are split into equal parts with a hash each, so that no probability underflows.
 
-Defined cases: null is a source of its own; sources that are missing from given weights get weight 0 and no copies; a
+Defined cases: null is a source of its own; sources that are missing from given weights get weight 0 and no copies; weights that are
+empty, all 0 or of other sources only give an empty result; a null weight is 0; a negative, infinite or NaN weight raises an error; a
 null text has size 1; a null id is replaced in the hash by the text's MD5; repeated rows get the same number of
 copies each; an empty table gives an empty result. Columns of the input named like the two added ones are replaced.
 """
@@ -30,10 +31,13 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float
     if weights is None:
         weighed = sizes.withColumn("_weight", F.pow(F.col("_size").cast("double"), F.lit(alpha)))
     else:
-        given = weights.groupBy(F.col("source").alias("_given")).agg(F.sum("weight").cast("double").alias("_weight"))
+        value = F.col("weight").cast("double")
+        if not weights.where((value < 0) | F.isnan(value) | (value == float("inf"))).isEmpty():
+            raise ValueError("weights must be finite and not negative")
+        given = weights.groupBy(F.col("source").alias("_given")).agg(F.sum(value).alias("_weight"))
         weighed = sizes.join(given, F.col("_source").eqNullSafe(F.col("_given")), "left").select("_source", "_size", F.coalesce("_weight", F.lit(0.0)).alias("_weight"))
     totals = weighed.agg(F.sum("_weight").alias("_all_weight"), F.sum("_size").alias("_all_size"))
-    rate = F.col("_weight") / F.col("_all_weight") * F.col("_all_size") / F.col("_size")
+    rate = F.when(F.col("_all_weight") > 0, F.col("_weight") / F.col("_all_weight") * F.col("_all_size") / F.col("_size")).otherwise(F.lit(0.0))
     return weighed.join(F.broadcast(totals)).select("_source", rate.alias("_rate"))  # totals is one row
 
 
@@ -88,13 +92,23 @@ def mix(
     return dealt.select(*[F.col(f"_doc.{quoted(c)}").alias(c) for c in names], COPY, KEY)
 
 
-#: DuckDB: mix(documents) with its default parameters.
+def quality_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """source, weight: the root of a source's size times the share of good ones among its labelled documents (one good and one bad added)."""
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), (F.coalesce(F.length(text_col), F.lit(0)).cast("long") + 1).alias("_size"))
+    judged = labels.groupBy(F.col(id_col).alias("_of")).agg(F.max("quality").alias("_quality"))
+    per_source = slim.join(judged, F.col("_id") == F.col("_of"), "left").groupBy("source")
+    share = (F.count_if(F.col("_quality") == 1) + 1).cast("double") / (F.count("_quality") + 2).cast("double")
+    return per_source.agg((F.sqrt(F.sum("_size").cast("double")) * share).alias("weight"))
+
+
+#: DuckDB: mix(documents, quality_weights(documents, labels)).
 ORACLE_SQL = """
 WITH RECURSIVE sizes AS (
-  SELECT source, CAST(sum(coalesce(length(text), 0) + 1) AS BIGINT) AS size FROM documents GROUP BY source),
+  SELECT source, CAST(sum(coalesce(length(text), 0) + 1) AS BIGINT) AS size, CAST(count(*) FILTER (q = 1) + 1 AS DOUBLE) / CAST(count(q) + 2 AS DOUBLE) AS good
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id GROUP BY source),
+weights AS (SELECT source, size, sqrt(CAST(size AS DOUBLE)) * good AS weight FROM sizes),
 rates AS (
-  SELECT source, sqrt(CAST(size AS DOUBLE)) / (SELECT sum(sqrt(CAST(size AS DOUBLE))) FROM sizes)
-         * CAST((SELECT sum(size) FROM sizes) AS DOUBLE) / CAST(size AS DOUBLE) AS rate FROM sizes),
+  SELECT source, weight / (SELECT sum(weight) FROM weights) * CAST((SELECT sum(size) FROM weights) AS DOUBLE) / CAST(size AS DOUBLE) AS rate FROM weights),
 parts AS (SELECT source, CAST(greatest(1, ceil(rate / 64.0)) AS INTEGER) AS n_parts, rate / greatest(1, ceil(rate / 64.0)) AS r FROM rates),
 cdf AS (
   SELECT source, n_parts, r, 0 AS k, exp(-r) AS p, exp(-r) AS c FROM parts

@@ -46,7 +46,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.quality_weights(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

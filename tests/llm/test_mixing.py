@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from pointlens.llm.mixing import mix
 
 
@@ -42,3 +44,14 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "text", "source", "a.b c", "copy", "shuffle_key"] and dict(out.dtypes)["copy"] == "int"
     assert sum(r.doc_id == 2 for r in out.collect()) % 2 == 0
     assert mix(docs.limit(0)).collect() == []
+
+
+def test_odd_weights(spark):
+    docs = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    table = lambda *rows: spark.createDataFrame(list(rows), "source string, weight double")
+    for weights in (table(), table(("a", 0.0), ("b", 0.0)), table(("other", 1.0)), table(("a", None))):
+        assert mix(docs, weights).collect() == []
+    assert {r.source for r in mix(docs, table(("a", 0.0), ("b", 9.0))).collect()} <= {"b"}
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="finite"):
+            mix(docs, table(("a", bad)))
