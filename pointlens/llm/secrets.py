@@ -124,26 +124,35 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL: body with a name for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+_EMPTY = "cast(array() AS array<struct<s: int, k: int, e: int>>)"
+
+
 def _spans(rule: Rule, number: int) -> str:
     """SQL: the rule's spans in _text, as an array of (s, k, e).
 
-    The pieces between matches and the matches themselves add up to the offsets.
+    The pieces between matches and the matches themselves add up to the offsets. Sums over n matches are taken in about root of n blocks of as
+    many, since an array that grows is copied at each step.
     """
     p = _sql(rule.java)
-    return f"""
-      CASE WHEN rlike(_text, {p}) THEN aggregate(
+    steps = f"""
         zip_with(
           slice(split(_text, {p}, -1), 1, size(regexp_extract_all(_text, {p}, 0))),
-          zip_with(regexp_extract_all(_text, {p}, 0), regexp_extract_all(_text, {p}, {rule.group}), (h, m) -> named_struct('hit', h, 'measured', m)),
-          (p, x) -> named_struct('piece', p, 'hit', x.hit, 'measured', x.measured)),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<s: int, k: int, e: int>>)),
-        (a, x) -> named_struct(
-          'at', a.at + length(x.piece) + length(x.hit),
-          'out', if(length(x.measured) >= {rule.least},
-                    array_append(a.out, named_struct('s', a.at + length(x.piece), 'k', {number}, 'e', a.at + length(x.piece) + length(x.hit))),
-                    a.out)),
-        a -> a.out)
-      ELSE cast(array() AS array<struct<s: int, k: int, e: int>>) END"""
+          zip_with(regexp_extract_all(_text, {p}, 0), regexp_extract_all(_text, {p}, {rule.group}), (h, m) -> named_struct('hit', length(h), 'measured', length(m))),
+          (p, x) -> named_struct('gap', length(p), 'hit', x.hit, 'measured', x.measured))"""
+    width = "cast(ceil(sqrt(size(steps))) AS int)"
+    blocks = f"transform(sequence(0, cast((size(steps) - 1) div {width} AS int)), b -> slice(steps, b * {width} + 1, {width}))"
+    total = "aggregate(block, 0, (a, x) -> a + x.gap + x.hit)"
+    starts = f"aggregate(blocks, array(0), (a, block) -> array_append(a, element_at(a, -1) + {total}))"
+    ends = "slice(aggregate(block, array(start), (a, x) -> array_append(a, element_at(a, -1) + x.gap + x.hit)), 2, size(block))"
+    marked = f"zip_with(block, {ends}, (x, e) -> named_struct('s', e - x.hit, 'k', {number}, 'e', e, 'measured', x.measured))"
+    all_spans = f"flatten(zip_with(blocks, slice({starts}, 1, size(blocks)), (block, start) -> {marked}))"
+    good = f"transform(filter({all_spans}, x -> x.measured >= {rule.least}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
+    return f"CASE WHEN rlike(_text, {p}) THEN {_bound('steps', steps, _bound('blocks', blocks, good))} ELSE {_EMPTY} END"
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +168,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     for number, rule in enumerate(rules):
         spans = _spans(rule, number)
         if rule.kind in queries:
-            spans = f"CASE WHEN coalesce(array_contains(_kinds, '{rule.kind}'), false) THEN {spans} ELSE cast(array() AS array<struct<s: int, k: int, e: int>>) END"
+            spans = f"CASE WHEN coalesce(array_contains(_kinds, '{rule.kind}'), false) THEN {spans} ELSE {_EMPTY} END"
         arrays.append(F.expr(spans))
     return keyed.select(F.col("_id").alias(id_col), F.array_sort(F.concat(*arrays)).alias("spans"))
 

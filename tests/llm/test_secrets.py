@@ -1,4 +1,5 @@
 import re
+import time
 from hashlib import sha256
 
 from pointlens.llm import secrets
@@ -50,3 +51,11 @@ def test_candidates_need_every_trigram(spark):
     docs = spark.createDataFrame([(1, "AKI KIA"), (2, "aki only"), (3, None)], "_id long, _text string").selectExpr("_id", "coalesce(_text, '') AS _text", "xxhash64(_text) AS _hash")
     queries = {"access": trigram_query("AKIA[A-Z0-9]+")}
     assert [(r._c_id, r._kinds) for r in secrets.candidates(secrets.postings(docs, ["aki", "kia"]), queries).collect()] == [(1, ["access"])]
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abc{i:06d} é" for i in range(40000))
+    start = time.monotonic()
+    found = digest(scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()[0]
+    assert tuple(found)[1:] == brute(text)
+    assert time.monotonic() - start < 60
