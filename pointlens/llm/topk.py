@@ -11,10 +11,11 @@ above with the same figures for their pages. A tree keeps its own covering radiu
 
 Searching: every query is searched in the tree of its own cell first, which gives it a k-th distance. It then meets only those
 trees whose root bound (distance to the pivot less the radius) passes that distance. Inside a tree each query has its own order, the
-node or page of least possible distance next, and its own reach, the present k-th distance. Of a node's pages only those are compared
-with a query whose stored distance to the node leaves room (|d(q, node) - d(page, node)| - radius within reach), and likewise for the
-entries of a page. Queries that visit a page in the same step do so together. Scores are exact integers; a bound only skips
-what is farther than the k-th by more than rounding can explain.
+node or page of least possible distance next, and its own reach, the present k-th distance. After OWN_STEPS of its own, what is still within
+its reach is visited together with the other queries that reach it, the least possible distance first. Of a node's pages only those are
+compared with a query whose stored distance to the node leaves room (|d(q, node) - d(page, node)| - radius within reach), and
+likewise for the entries of a page. Scores are exact integers; a bound only skips what is farther than the k-th by more than rounding
+can explain.
 
 Defined cases: rows take no part if the id or the vector is null or a component is null or not finite; vectors of
 different lengths are not comparable and never meet; a query row's candidates are all other rows, those with its id among them;
@@ -34,10 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlens.llm.common import checkpoint
+from pointlens.sources.shared import spread
 
 TREE_ROWS = 1 << 14
 PAGE_ROWS = 128
 BLOCK_QUERIES = 256
+OWN_STEPS = 12  # nodes and pages that a query visits in its own order
 MOST_PIVOT_BYTES = 1 << 26  # of the pivots, which the driver collects and broadcasts
 RESULT = "query_id long, rank int, vec_id long, score long"
 _NONE = np.int64(-(1 << 62))
@@ -228,21 +231,30 @@ class Search:
         bounds = np.concatenate([self.node_d - tree["node_radius"], np.full((n, len(tree["centres"])), np.inf)], axis=1)  # each query's queue
         page_d = np.full((n, len(tree["centres"])), np.inf)
         live = np.arange(n)
-        while len(live):
-            nearest = bounds[live].argmin(axis=1)
+        for _ in range(OWN_STEPS):
+            nearest = bounds[live].argmin(axis=1) if len(live) else np.zeros(0, np.int64)
             least = bounds[live, nearest]
             go = np.isfinite(least) & (least <= self.reach[live])
             live, nearest = live[go], nearest[go]
             bounds[live, nearest] = np.inf
             order = np.argsort(nearest, kind="stable")
             for group in np.split(order, np.flatnonzero(np.diff(nearest[order])) + 1) if len(order) else []:
-                what = int(nearest[group[0]])
-                if what < n_nodes:
-                    self._open_node(what, live[group], bounds, page_d)
-                else:
-                    self._visit_page(what - n_nodes, live[group], page_d)
+                self._visit(int(nearest[group[0]]), live[group], bounds, page_d)
+        # what is still within reach of some queries, for all of them together
+        for those in (np.arange(n_nodes), n_nodes + np.arange(len(tree["centres"]))):
+            for what in those[np.argsort(bounds[:, those].min(axis=0, initial=np.inf), kind="stable")]:
+                live = np.flatnonzero(np.isfinite(bounds[:, what]) & (bounds[:, what] <= self.reach))
+                if len(live):
+                    self._visit(int(what), live, bounds, page_d)
         return self
 
+    def _visit(self, what: int, live: np.ndarray, bounds: np.ndarray, page_d: np.ndarray) -> None:
+        n_nodes = len(self.tree["nodes"])
+        if what < n_nodes:
+            self._open_node(what, live, bounds, page_d)
+        else:
+            self._visit_page(what - n_nodes, live, page_d)
+
 
 def search_tree(tree: dict[str, np.ndarray], numbers: np.ndarray, queries: np.ndarray, k: int, top: int, kth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Scores and ids of the k best objects of a tree for each query (unused places have score _NONE), and how many inner products it took."""
@@ -301,7 +313,8 @@ def _top_k_of_length(rows: DataFrame, dim: int, n: int, is_query: Column, k: int
         return pa.table({"_home": pa.array([key[0].as_py()], pa.int32()), "_block_data": pa.array([data], pa.binary())})
 
     packed = questions.groupBy("_first", "_block").applyInArrow(pack, "_home int, _block_data binary")
-    at_home = packed.join(trees, F.col("_home") == F.col("_tree")).select("_home", "_block_data", "_tree_data")
+    spread_trees = spread(trees, "_tree")  # a block takes long for its bytes
+    at_home = spread(packed, "_home").join(spread_trees, F.col("_home") == F.col("_tree")).select("_home", "_block_data", "_tree_data")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
         held, tree = None, None
@@ -347,7 +360,7 @@ def _top_k_of_length(rows: DataFrame, dim: int, n: int, is_query: Column, k: int
                     yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([data], pa.binary())], ["_to", "_block_data"])
 
     away = checkpoint(home.select("_home", "_asked").mapInArrow(pass_on, "_to int, _block_data binary"))
-    meet = away.join(trees, F.col("_to") == F.col("_tree")).select("_to", "_block_data", "_tree_data")
+    meet = spread(away, "_to").join(spread_trees, F.col("_to") == F.col("_tree")).select("_to", "_block_data", "_tree_data")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, scores, ids in searched(batches):
