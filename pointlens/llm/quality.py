@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlens.llm.common import small, text_slices
+from pointlens.llm.common import checkpoint, text_slices
 
 SLICE_BYTES = 1 << 20
 SCALE = 1 << 20  # fixed point of a log ratio
+ID_BITS = 1 << 26
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -87,33 +88,53 @@ def _inside(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return inside
 
 
-def count_ngrams(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, raw, target: trigram counts over all documents and over those whose id is in `trusted` (one column, id_col)."""
-    good = trusted.select(F.col(id_col).alias("_good")).where("_good IS NOT NULL").distinct()
-    flagged = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .join(small(good), F.col("_id") == F.col("_good"), "left")
-        .select("_text", F.col("_good").isNotNull().alias("_trusted"))
-    )
-    size = rules.buckets
+def _id_bits(trusted: DataFrame) -> np.ndarray:
+    """Which of ID_BITS hash values the ids (`_good`) of trusted have. Its size is fixed, so it can be sent to all tasks at any number of ids."""
+    places = trusted.select(F.pmod(F.xxhash64("_good"), F.lit(ID_BITS)).cast("int").alias("place"))
+    words = places.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 64))").alias("bits"))
+    out = np.zeros(ID_BITS // 64, np.int64)
+    found = words.toArrow()  # ID_BITS / 64 rows at most
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _count(rows: DataFrame, size: int) -> DataFrame:
+    """bucket, n: trigrams of the texts (`_text`) of rows, counted by task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_n, target_n = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n = np.zeros(size, np.int64)
         for batch in batches:
-            for part, texts in text_slices(batch, "_text", SLICE_BYTES):
+            for _, texts in text_slices(batch, "_text", SLICE_BYTES):
                 raw, start, end = _layout(texts)
                 grams = _buckets_of(raw, size)
-                inside = _inside(len(grams), start, end)
-                raw_n += np.bincount(grams[inside], minlength=size)
-                trust = part.column("_trusted").to_numpy(zero_copy_only=False).astype(bool)
-                mine = np.repeat(trust, end - start)[: len(grams)]
-                target_n += np.bincount(grams[inside & mine], minlength=size)
-        used = np.flatnonzero(raw_n)
+                n += np.bincount(grams[_inside(len(grams), start, end)], minlength=size)
+        used = np.flatnonzero(n)
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw_n[used]), pa.array(target_n[used])], ["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["bucket", "n"])
 
-    partial = flagged.mapInArrow(count, "bucket int, raw long, target long")
-    return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return rows.select("_text").mapInArrow(count, "bucket int, n long")
+
+
+def count_ngrams(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bucket, raw, target: trigram counts over all documents and over those whose id is in `trusted` (one column, id_col).
+
+    Only documents whose id has a bit of a trusted one meet the trusted ids in a join, so no other text is shuffled.
+    """
+    good = checkpoint(trusted.select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("_good")).where("_good IS NOT NULL").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(_id_bits(good))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    raw = _count(rows, rules.buckets).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target"))
+
+    def may_be_trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("_place").to_numpy()
+            yield batch.filter(pa.array((bits.value[place >> 6] >> (place & 63)) & 1 == 1))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    placed = rows.where("_id IS NOT NULL").select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(ID_BITS)).alias("_place"))
+    some = placed.mapInArrow(may_be_trusted, f"_id {kind}, _text string, _place long")
+    target = _count(some.join(good, F.col("_id") == F.col("_good"), "left_semi"), rules.buckets).select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("target"))
+    return raw.unionByName(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
