@@ -56,6 +56,29 @@ def test_fps_order_by_one_task_and_by_all(spark, whole):
     assert small == large == few == want
 
 
+def test_fps_order_raises_at_its_limit(spark):
+    points, _ = cloud(spark, 70, 1)
+    with pytest.raises(RuntimeError, match="of 70 points"):
+        fps.order_distributed(points, 70, candidates=1, most_rounds=3)
+    assert fps.order_distributed(points, 3, candidates=1, most_rounds=3).count() == 3
+
+
+def test_fps_order_of_a_hot_coordinate(spark):
+    """A third of the rows at one place take no round each."""
+    points, array = cloud(spark, 40, 4)
+    rows = [(f"A-{i}", *array[i % 40 if i < 40 else 7].tolist(), "S", "C", i) for i in range(160)]
+    hot = spark.createDataFrame(rows, POINT).repartition(3)
+    found = [r.row_pos for r in fps.order_distributed(hot, 160, candidates=8, most_rounds=60).orderBy("fps_rank").collect()]
+    assert found == slow_fps([r[1:3] for r in rows])
+    assert found == [r.row_pos for r in fps.fps_order(hot, "state", task_rows=100, steps_col=None).orderBy("fps_rank").collect()]
+
+
+def test_fps_order_above_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(fps, "TASK_ROWS", 50)
+    points, array = cloud(spark, 90, 6)
+    assert [r.row_pos for r in fps.fps_order(points, "state", task_rows=fps.TASK_ROWS).orderBy("fps_rank").collect()] == slow_fps(array)
+
+
 def test_fps_prefixes_are_nested(spark, sf_dir):
     rows = QUERIES["fps_samples"](spark, sf_dir).collect()
     for state in {r.state for r in rows}:
