@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from pointlens.llm.common import text_slices
 
-SLICE_BYTES = 1 << 23
-CACHE_PIECES = 250_000  # of a generation; bounds the memory of a task
+SLICE_BYTES = 1 << 21
+CACHE_PIECES = 120_000  # of a generation; bounds the memory of a task
 LONG_WORD = 64  # bytes from which a word is treated by itself
 MERGE_ROWS = 1 << 14
 _NEVER = np.int64(1 << 40)

@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from pointlens.llm.common import text_slices
 
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 BLOCK_TOKENS = 1 << 16
-CACHE_WORDS = 250_000  # of a generation; bounds the memory of a task
+CACHE_WORDS = 120_000  # of a generation; bounds the memory of a task
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
