@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from pointlens.llm.common import text_slices
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 CACHE_PIECES = 120_000  # of a generation; bounds the memory of a task
 LONG_WORD = 64  # bytes from which a word is treated by itself
-MERGE_ROWS = 1 << 14
+MERGE_ROWS = 1 << 11
 _NEVER = np.int64(1 << 40)
 
 #: Fixed value: the published word pattern of byte-level BPE.

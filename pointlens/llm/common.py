@@ -38,12 +38,13 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
     """
     if batch.num_rows == 0:
         return
-    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string()).cast(pa.large_binary())
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    whole = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False)
+    part = lambda start, n: (batch.slice(start, n), pc.fill_null(whole.slice(start, n), "").cast(pa.large_string()).cast(pa.large_binary()))
     start, held = 0, 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         if i > start and held + n > max_bytes:
-            yield batch.slice(start, i - start), texts.slice(start, i - start)
+            yield part(start, i - start)
             start, held = i, 0
         held += n
-    yield batch.slice(start), texts.slice(start)
+    yield part(start, batch.num_rows - start)

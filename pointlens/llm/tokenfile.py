@@ -39,7 +39,7 @@ from pointlens.llm.common import text_slices
 
 SLICE_BYTES = 1 << 21
 BLOCK_TOKENS = 1 << 16
-CACHE_WORDS = 120_000  # of a generation; bounds the memory of a task
+CACHE_WORDS = 200_000  # of a generation; bounds the memory of a task
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
