@@ -297,14 +297,29 @@ def pad_ring(spark, sf_dir):
     return moved.select("region", "poly", "ring", r6("q.lng").alias("lng"), r6("q.lat").alias("lat"))
 
 
-@query()
+def _hull_sql(view: str, *by: str) -> str:
+    """DuckDB: corners of each scope's hull. An edge has all other points on its left; the lower chain runs to the east, the upper one back."""
+    keys, same = ", ".join(by), " AND ".join(f"a.{c} = b.{c}" for c in by)
+    return f"""{_view(view)}, u AS (SELECT DISTINCT {keys}, lng, lat FROM p), i AS (SELECT *, row_number() OVER (ORDER BY lng, lat) AS i FROM u),
+h AS (SELECT {', '.join(f'a.{c}' for c in by)}, a.lng, a.lat, b.lng > a.lng AS lower FROM i a JOIN i b ON {same} AND a.i <> b.i
+  WHERE NOT EXISTS (SELECT 1 FROM i c WHERE {' AND '.join(f'a.{c} = c.{c}' for c in by)} AND c.i <> a.i AND c.i <> b.i AND (b.lng - a.lng) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lng - a.lng) <= 0)),
+corners AS (SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY lower DESC, CASE WHEN lower THEN lng ELSE -lng END) - 1 AS INTEGER) AS corner, lng, lat FROM h)"""
+
+
+@query(f"WITH {_hull_sql('vectors', 'state')} SELECT * FROM corners")
 def convex_hull(spark, sf_dir):
     return geometry.convex_hulls(vector_points(spark, sf_dir), "state")
 
 
-@query()
+@query(f"""WITH {_hull_sql('vectors', 'state', 'county')},
+c AS (SELECT *, count(*) OVER w AS n, avg(lng) OVER w AS mx, avg(lat) OVER w AS my, greatest((max(lng) OVER w - min(lng) OVER w) * 0.04, 0.005) AS sx, greatest((max(lat) OVER w - min(lat) OVER w) * 0.04, 0.005) AS sy FROM corners WINDOW w AS (PARTITION BY state, county)),
+d AS (SELECT *, sqrt((lng - mx) * (lng - mx) + (lat - my) * (lat - my)) AS norm FROM c WHERE n >= 3),
+m AS (SELECT state, county, corner, CAST(n AS INTEGER) AS n, round(lng + (lng - mx) / norm * sx, 6) AS lng, round(lat + (lat - my) / norm * sy, 6) AS lat FROM d)
+SELECT state, county, 'convex-hull' AS source, corner, lng, lat FROM m UNION ALL SELECT state, county, 'convex-hull', n, lng, lat FROM m WHERE corner = 0""")
 def fallback_boundary(spark, sf_dir):
-    return geometry.fallback_rings(event_points(spark, sf_dir), "state", "county")
+    rings = geometry.fallback_rings(vector_points(spark, sf_dir), "state", "county").where("source = 'convex-hull'")
+    corners = rings.select("state", "county", "source", F.posexplode("ring").alias("corner", "p"))
+    return corners.select("state", "county", "source", "corner", r6("p.lng").alias("lng"), r6("p.lat").alias("lat"))
 
 
 #: A topology of two neighbouring squares that share an arc: quantised steps of each arc.
@@ -365,12 +380,32 @@ def min_pairwise(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(found), 9).alias("spacing"))
 
 
-@query()
+def _thin_sql(points: str, distance: float) -> str:
+    """DuckDB: greedy thinning of `points` (state, row_pos, x, y) by rounds: a point is decided once all points before it that are too near are."""
+    bound = distance * distance - max(1e-15, distance * distance * 1e-12)
+    return f"""q AS ({points}),
+e AS MATERIALIZED (SELECT a.state, a.row_pos AS late, b.row_pos AS early FROM q a JOIN q b ON a.state = b.state AND b.row_pos < a.row_pos AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < CAST({bound!r} AS DOUBLE)),
+w AS (
+  SELECT 0 AS step, state, row_pos, CAST(NULL AS BOOLEAN) AS kept FROM q
+  UNION ALL
+  SELECT step + 1, w.state, w.row_pos, CASE WHEN kept IS NOT NULL THEN kept WHEN any_kept THEN false WHEN any_open THEN NULL ELSE true END
+  FROM w LEFT JOIN (SELECT e.state, late, bool_or(coalesce(o.kept, false)) AS any_kept, bool_or(o.kept IS NULL) AS any_open FROM e JOIN w o ON o.state = e.state AND o.row_pos = early GROUP BY e.state, late) s
+    ON s.state = w.state AND late = w.row_pos
+  WHERE (SELECT count(*) FROM w WHERE kept IS NULL) > 0)
+SELECT state, row_pos FROM w WHERE kept AND step = (SELECT max(step) FROM w)"""
+
+
+@query(f"WITH RECURSIVE {_view('vectors')}, {_thin_sql('SELECT state, row_pos, lng AS x, lat AS y FROM p', 0.05)}")
 def thin_by_distance(spark, sf_dir):
     return pixels.thin(vector_points(spark, sf_dir), 0.05, "state", order="row_pos", x="lng", y="lat")
 
 
-@query()
+_PIXELS = f"""b AS (SELECT state, radians(min(lng)) AS x0, radians(max(lng)) AS x1, {_MERCATOR.format('min(lat)')} AS y0, {_MERCATOR.format('max(lat)')} AS y1 FROM p GROUP BY state),
+c AS (SELECT *, least(1184 / (x1 - x0), 832 / (y1 - y0)) AS s FROM b),
+f AS (SELECT state, row_pos, 32 + (1184 - (x1 - x0) * s) / 2 + (radians(lng) - x0) * s AS x, 32 + (832 - (y1 - y0) * s) / 2 + (y1 - {_MERCATOR.format('lat')}) * s AS y FROM p JOIN c USING (state))"""
+
+
+@query(f"WITH RECURSIVE {_view('events')}, {_PIXELS}, {_thin_sql('SELECT * FROM f', pixels.marker_spacing('state'))}")
 def pixel_occupancy(spark, sf_dir):
     return pixels.pixel_sample(event_points(spark, sf_dir), "state", None, "state").select("state", "row_pos")
 
@@ -385,32 +420,34 @@ def retain_sizes(spark, sf_dir):
     return sampling.retain_sizes(sizes, sampling.configured("state")).withColumn("n_keep", F.col("n_keep").cast("long"))
 
 
-_FPS = """, v AS (SELECT row_pos, lat, lng FROM p WHERE state = '3'), c AS (SELECT avg(lat) AS a, avg(lng) AS b FROM v),
-f AS (SELECT row_pos FROM v, c ORDER BY (lat - a) * (lat - a) + (lng - b) * (lng - b) DESC, row_pos LIMIT 1),
+_FPS = f"""{_view('vectors')}, centre AS (SELECT state, avg(lat) AS a, avg(lng) AS b FROM p GROUP BY state),
 w AS (
-  SELECT 0 AS step, v.row_pos, v.lat, v.lng, CAST('inf' AS DOUBLE) AS d2, v.row_pos = f.row_pos AS now, v.row_pos = f.row_pos AS done FROM v, f
+  SELECT 0 AS step, state, row_pos, lat, lng, CAST('inf' AS DOUBLE) AS d2, first AS now, first AS done
+  FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY (lat - a) * (lat - a) + (lng - b) * (lng - b) DESC, row_pos) = 1 AS first FROM p JOIN centre USING (state))
   UNION ALL
-  SELECT step + 1, row_pos, lat, lng, nd, row_number() OVER (ORDER BY done, nd DESC, row_pos) = 1, done OR row_number() OVER (ORDER BY done, nd DESC, row_pos) = 1
-  FROM (SELECT w.step, w.row_pos, w.lat, w.lng, w.done, least(w.d2, (w.lat - k.lat) * (w.lat - k.lat) + (w.lng - k.lng) * (w.lng - k.lng)) AS nd
-        FROM w, (SELECT lat, lng FROM w WHERE now) k WHERE w.step < 19))"""
+  SELECT step + 1, state, row_pos, lat, lng, nd, NOT done AND next, done OR next
+  FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY done, nd DESC, row_pos) = 1 AS next
+        FROM (SELECT w.step, w.state, w.row_pos, w.lat, w.lng, w.done, least(w.d2, (w.lat - k.lat) * (w.lat - k.lat) + (w.lng - k.lng) * (w.lng - k.lng)) AS nd
+              FROM w JOIN (SELECT state, lat, lng FROM w WHERE now) k ON k.state = w.state))),
+ranks AS (SELECT state, row_pos, CAST(step AS BIGINT) AS fps_rank FROM w WHERE now)"""
+_SIZES = "sizes AS (SELECT state, count(*) AS n FROM p GROUP BY state), wanted AS (SELECT unnest([{0}]) AS percentage), keep AS (SELECT state, percentage, CAST(least(n, greatest(1, round_even(n * (percentage / 100::DOUBLE), 0))) AS INTEGER) AS n_keep FROM sizes, wanted)"
 
 
-@query(f"WITH RECURSIVE {_view('vectors')}{_FPS} SELECT row_pos, CAST(step AS BIGINT) AS fps_rank FROM w WHERE now")
+@query(f"WITH RECURSIVE {_FPS} SELECT state, row_pos FROM ranks WHERE fps_rank = 0")
 def fps_first(spark, sf_dir):
-    own = scope.in_scope(vector_points(spark, sf_dir), scope.Scope("state", "3"))
-    return fps_order(own.withColumn("_steps", F.lit(20)), steps_col="_steps")
+    return fps_order(vector_points(spark, sf_dir).withColumn("_steps", F.lit(1)), "state", steps_col="_steps").select("state", "row_pos")
 
 
-@query()
+@query(f"WITH RECURSIVE {_FPS} SELECT * FROM ranks")
 def fps_ranks(spark, sf_dir):
     return fps_order(vector_points(spark, sf_dir), "state")
 
 
-@query()
+@query(f"WITH RECURSIVE {_FPS}, {_SIZES.format('1, 5, 10, 20, 50, 100')} SELECT state, percentage, n_keep, row_pos, fps_rank FROM ranks JOIN keep USING (state) WHERE fps_rank < n_keep")
 def fps_samples(spark, sf_dir):
     points = vector_points(spark, sf_dir)
     samples = sampling.fps_prefixes(points, fps_order(points, "state"), [1, 5, 10, 20, 50, 100], "state")
-    return samples.select("state", "percentage", "n_keep", "row_pos", "fps_rank")
+    return samples.select("state", "percentage", F.col("n_keep").cast("int").alias("n_keep"), "row_pos", "fps_rank")
 
 
 @query("""WITH s AS (SELECT unnest(['AZ', 'UT', 'NC']) AS state), q AS (SELECT unnest([3, 4, 26, 50]) AS percentage)
@@ -428,17 +465,18 @@ def random_sample(spark, sf_dir):
 # Topology and curves ---------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {_view('vectors')}, v AS (SELECT DISTINCT lat, lng FROM p WHERE state = '3'), i AS (SELECT row_number() OVER (ORDER BY lat, lng) AS i, lat, lng FROM v),
+@query(f"""WITH RECURSIVE {_view('vectors')}, v AS (SELECT DISTINCT state, lat, lng FROM p), i AS (SELECT row_number() OVER (PARTITION BY state ORDER BY lat, lng) AS i, * FROM v),
 w AS (
-  SELECT 0 AS step, i, lat, lng, CAST('inf' AS DOUBLE) AS d2, i = 1 AS now, i = 1 AS done, CAST(0 AS DOUBLE) AS edge FROM i
+  SELECT 0 AS step, state, i, lat, lng, CAST('inf' AS DOUBLE) AS d2, i = 1 AS now, i = 1 AS done, CAST(0 AS DOUBLE) AS edge FROM i
   UNION ALL
-  SELECT step + 1, i, lat, lng, nd, row_number() OVER (ORDER BY done, nd, i) = 1 AND NOT done, done OR row_number() OVER (ORDER BY done, nd, i) = 1, nd
-  FROM (SELECT w.step, w.i, w.lat, w.lng, w.done, least(w.d2, (w.lat - k.lat) * (w.lat - k.lat) + (w.lng - k.lng) * (w.lng - k.lng)) AS nd FROM w, (SELECT lat, lng FROM w WHERE now) k))
-SELECT round(edge / 4, 9) AS death FROM w WHERE now AND step > 0""")
+  SELECT step + 1, state, i, lat, lng, nd, next AND NOT done, done OR next, nd
+  FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY done, nd, i) = 1 AS next
+        FROM (SELECT w.step, w.state, w.i, w.lat, w.lng, w.done, least(w.d2, (w.lat - k.lat) * (w.lat - k.lat) + (w.lng - k.lng) * (w.lng - k.lng)) AS nd
+              FROM w JOIN (SELECT state, lat, lng FROM w WHERE now) k ON k.state = w.state)))
+SELECT state, round(edge / 4, 9) AS death FROM w WHERE now AND step > 0""")
 def h0_deaths(spark, sf_dir):
-    own = scope.in_scope(vector_points(spark, sf_dir), scope.Scope("state", "3"))
-    found = topology.diagram_rows(topology.diagrams(own, "state"), "state")
-    return found.where("family = 'H0'").select(F.round("death", 9).alias("death"))
+    found = topology.diagram_rows(topology.diagrams(vector_points(spark, sf_dir), "state"), "state")
+    return found.where("family = 'H0'").select("state", F.round("death", 9).alias("death"))
 
 
 @query()
@@ -472,50 +510,52 @@ def distance_baseline(spark, sf_dir):
     return baselines.baseline_entry(points, scope.Scope("state", "3"), baselines.BASELINES["country_1pct_distance"])
 
 
-#: A curve whose error is not monotone, with a zero-based metric: scope, percentage, points, the four metrics.
-_CURVE = [
-    ("a", 1, 10, 8.0, 0.0, 16.0, 0.0), ("a", 2, 20, 6.0, 1.0, 12.0, 0.0), ("a", 5, 50, 3.0, 2.0, 9.0, 0.0), ("a", 10, 100, 5.0, 0.0, 4.0, 0.0), ("a", 100, 1000, 0.0, 0.0, 0.0, 0.0),
-    ("b", 1, 4, 2.0, 1.0, 4.0, 2.0), ("b", 2, 8, 2.0, 1.0, 4.0, 2.0), ("b", 5, 20, 1.5, 1.0, 4.0, 2.0),
-]
-_CURVE_COLUMNS = ["scope", "percentage", "n_points", *topology.METRICS]
+def _table_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve of every state of the events: how far the means of a growing sample are from those of all points, in the columns of an error curve."""
+    parts = event_points(spark, sf_dir).groupBy(F.col("state").alias("scope"), (F.col("row_pos") % 100).alias("u")).agg(F.count("*").alias("c"), F.sum("lat").alias("a"), F.sum("lng").alias("b"))
+    whole = parts.groupBy("scope").agg((F.sum("a") / F.sum("c")).alias("_a"), (F.sum("b") / F.sum("c")).alias("_b"))
+    each = parts.withColumn("percentage", F.explode(F.array(*[F.lit(p) for p in sampling.configured("state")]))).where("u < percentage")
+    means = each.groupBy("scope", "percentage").agg(F.sum("c").cast("int").alias("n_points"), (F.sum("a") / F.sum("c")).alias("a"), (F.sum("b") / F.sum("c")).alias("b")).join(whole, "scope")
+    means = means.withColumns({"x": r6(F.abs(F.col("a") - F.col("_a"))), "y": r6(F.abs(F.col("b") - F.col("_b")))})
+    h1 = F.when(F.col("percentage") % 3 == 0, F.lit(0.0)).otherwise(F.col("y"))
+    return means.select("scope", "percentage", "n_points", F.col("x").alias("bottleneck_h0"), F.col("y").alias("bottleneck_h1"), (F.col("x") + F.col("y")).alias("wasserstein_h0"), h1.alias("wasserstein_h1"))
 
 
-def _literal_curve(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CURVE, ", ".join(["scope string", "percentage int", "n_points int", *[f"{m} double" for m in topology.METRICS]]))
-
-
-_CURVE_SQL = f"k AS (SELECT scope, percentage, n_points, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in topology.METRICS)} FROM (VALUES {', '.join(map(str, _CURVE))}) v({', '.join(_CURVE_COLUMNS)}))"
+_CURVE_SQL = f"""{_view('events')}, ka AS (SELECT state AS scope, row_pos % 100 AS u, count(*) AS c, sum(lat) AS a, sum(lng) AS b FROM p GROUP BY ALL),
+kq AS (SELECT percentage FROM (SELECT unnest(range(1, 101)) AS percentage) WHERE percentage <= 30 OR percentage % 2 = 0), kt AS (SELECT scope, sum(a) / sum(c) AS ta, sum(b) / sum(c) AS tb FROM ka GROUP BY scope),
+km AS (SELECT scope, percentage, CAST(sum(c) AS INTEGER) AS n_points, round(abs(sum(a) / sum(c) - any_value(ta)), 6) AS x, round(abs(sum(b) / sum(c) - any_value(tb)), 6) AS y FROM ka JOIN kq ON u < percentage JOIN kt USING (scope) GROUP BY scope, percentage),
+k AS (SELECT scope, CAST(percentage AS INTEGER) AS percentage, n_points, x AS bottleneck_h0, y AS bottleneck_h1, x + y AS wasserstein_h0, CASE WHEN percentage % 3 = 0 THEN 0 ELSE y END AS wasserstein_h1 FROM km)"""
 _NORMAL = f"""{_CURVE_SQL}, m AS (SELECT k.*, b.percentage AS baseline_percentage, b.n_points AS baseline_points, {', '.join(f"CASE WHEN b.{x} <= 0 THEN CASE WHEN k.{x} <= 0 THEN 0 ELSE CAST('inf' AS DOUBLE) END ELSE k.{x} / b.{x} END AS normalized_{x}" for x in topology.METRICS)}
 FROM k JOIN k b ON b.scope = k.scope AND b.percentage = 2)"""
 
 
-def _normal(spark: SparkSession) -> DataFrame:
-    curve = _literal_curve(spark)
+def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = _table_curve(spark, sf_dir)
     return curves.normalize(curve, curves.baseline_row(curve, 2, "state", "scope"), "scope")
 
 
 @query(f"WITH {_NORMAL} SELECT scope, percentage, {', '.join(f'CASE WHEN isfinite(normalized_{x}) THEN round(normalized_{x}, 6) END AS normalized_{x}' for x in topology.METRICS)} FROM m")
 def normalize_metrics(spark, sf_dir):
     finite = lambda c: F.when(F.abs(F.col(c)) != float("inf"), r6(c)).alias(c)
-    return _normal(spark).select("scope", "percentage", *[finite(f"normalized_{m}") for m in topology.METRICS])
+    return _normal(spark, sf_dir).select("scope", "percentage", *[finite(f"normalized_{m}") for m in topology.METRICS])
 
 
 @query(f"""WITH {_NORMAL}, c AS (SELECT scope, coalesce(min(percentage) FILTER (normalized_bottleneck_h0 <= 0.6), max(percentage)) AS percentage FROM m WHERE percentage >= baseline_percentage GROUP BY scope)
 SELECT scope, percentage, n_points, bottleneck_h0, normalized_bottleneck_h0 <= 0.6 AS within FROM c JOIN m USING (scope, percentage)""")
 def select_threshold(spark, sf_dir):
-    return curves.select_by_threshold(_normal(spark), 0.6, "bottleneck_h0", "scope").select("scope", "percentage", "n_points", "bottleneck_h0", "within")
+    return curves.select_by_threshold(_normal(spark, sf_dir), 0.6, "bottleneck_h0", "scope").select("scope", "percentage", "n_points", "bottleneck_h0", "within")
 
 
 @query(f"""WITH {_NORMAL}, c AS (SELECT scope, coalesce(min(percentage) FILTER (normalized_wasserstein_h0 <= 0.5), max(percentage)) AS percentage FROM m WHERE n_points >= baseline_points GROUP BY scope)
 SELECT scope, percentage, n_points, wasserstein_h0, normalized_wasserstein_h0 <= 0.5 AS within FROM c JOIN m USING (scope, percentage)""")
 def select_distance_baseline(spark, sf_dir):
-    return curves.select_by_distance_baseline(_normal(spark), 0.5, "wasserstein_h0", "scope").select("scope", "percentage", "n_points", "wasserstein_h0", "within")
+    return curves.select_by_distance_baseline(_normal(spark, sf_dir), 0.5, "wasserstein_h0", "scope").select("scope", "percentage", "n_points", "wasserstein_h0", "within")
 
 
 @query(f"""WITH {_CURVE_SQL}, q AS (SELECT unnest([1, 3, 7, 60]) AS requested)
 SELECT requested, scope, coalesce(max(percentage) FILTER (percentage <= requested), min(percentage)) AS below, coalesce(min(percentage) FILTER (percentage >= requested), max(percentage)) AS above FROM k, q GROUP BY ALL""")
 def nearest_percentage(spark, sf_dir):
-    curve, out = _literal_curve(spark), None
+    curve, out = _table_curve(spark, sf_dir), None
     for p in (1, 3, 7, 60):
         below = curves.nearest_percentage(curve, p, True, "scope").withColumnRenamed("percentage", "below")
         row = below.join(curves.nearest_percentage(curve, p, False, "scope").withColumnRenamed("percentage", "above"), "scope").withColumn("requested", F.lit(p))
@@ -526,22 +566,23 @@ def nearest_percentage(spark, sf_dir):
 @query(f"""WITH {_CURVE_SQL}, n AS (SELECT scope, percentage, n_points + 1 AS n_points, bottleneck_h0 FROM k WHERE percentage % 5 = 0)
 SELECT scope, percentage, coalesce(n.n_points, k.n_points) AS n_points FROM k LEFT JOIN n USING (scope, percentage)""")
 def curve_overlay(spark, sf_dir):
-    curve = _literal_curve(spark)
+    curve = _table_curve(spark, sf_dir)
     partial = curve.where("percentage % 5 = 0").withColumn("n_points", F.col("n_points") + 1)
     return curves.overlay(curve, partial, "scope").select("scope", "percentage", "n_points")
 
 
-@query(f"""WITH {_CURVE_SQL}, q AS (SELECT unnest(range(1, 11)) AS p), m AS (SELECT s.scope, list(p ORDER BY p) FILTER (k.percentage IS NULL) AS l FROM (SELECT DISTINCT scope FROM k) s CROSS JOIN q LEFT JOIN k ON k.scope = s.scope AND k.percentage = p GROUP BY s.scope)
-SELECT scope, (SELECT count(*) FROM k WHERE k.scope = m.scope) AS row_count, array_to_string(l, ',') AS missing, len(l) = 0 AS complete FROM m""")
+@query(f"""WITH {_CURVE_SQL}, part_k AS (SELECT * FROM k WHERE percentage % 4 <> 3 OR scope = 'view'), q AS (SELECT unnest(range(1, 11)) AS p),
+m AS (SELECT s.scope, list(p ORDER BY p) FILTER (part_k.percentage IS NULL) AS l FROM (SELECT DISTINCT scope FROM part_k) s CROSS JOIN q LEFT JOIN part_k ON part_k.scope = s.scope AND part_k.percentage = p GROUP BY s.scope)
+SELECT scope, (SELECT count(*) FROM part_k WHERE part_k.scope = m.scope) AS row_count, coalesce(array_to_string(l, ','), '') AS missing, l IS NULL AS complete FROM m""")
 def curve_missing(spark, sf_dir):
-    found = curves.completeness(_literal_curve(spark), "state", "scope", most=10)
+    found = curves.completeness(_table_curve(spark, sf_dir).where("percentage % 4 <> 3 OR scope = 'view'"), "state", "scope", most=10)
     return found.withColumn("missing", F.array_join("missing", ","))
 
 
-@query(f"WITH {_CURVE_SQL} SELECT scope, percentage, round(n_points / CASE scope WHEN 'a' THEN 1000.0 ELSE 400.0 END * 100, 6) AS equivalent, CASE WHEN bottleneck_h1 <= 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS itself, CAST(round(100.0 * percentage / 65) AS INTEGER) AS progress FROM k WHERE percentage <= 60")
+@query(f"WITH {_CURVE_SQL} SELECT scope, percentage, round(n_points / CAST(100000 AS DOUBLE) * 100, 6) AS equivalent, CASE WHEN bottleneck_h1 <= 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS itself, CAST(round(100.0 * percentage / 65) AS INTEGER) AS progress FROM k WHERE percentage <= 60")
 def curve_figures(spark, sf_dir):
-    total = F.when(F.col("scope") == "a", 1000).otherwise(400)
-    return _literal_curve(spark).where("percentage <= 60").select(
+    total = F.lit(100000)
+    return _table_curve(spark, sf_dir).where("percentage <= 60").select(
         "scope", "percentage", r6(C.equivalent_percentage("n_points", total)).alias("equivalent"), C.normalized_against_itself("bottleneck_h1").alias("itself"), C.progress("percentage", F.lit(65)).alias("progress")
     )
 
@@ -610,9 +651,9 @@ def density_centres(spark, sf_dir):
     return spark.range(1).select(F.posexplode(C.bin_centres(edges)).alias("bin", "centre"))
 
 
-@query(f"WITH {_CURVE_SQL} SELECT scope, percentage, n_points FROM k WHERE percentage IN (1, 2, 5, 10, 100) AND percentage <> 2 UNION ALL SELECT scope, 2, n_points + 7 FROM k WHERE percentage = 2")
+@query(f"WITH {_CURVE_SQL} SELECT scope, percentage, CASE WHEN percentage = 2 THEN n_points + 7 ELSE n_points END AS n_points FROM k")
 def curve_available(spark, sf_dir):
-    curve = _literal_curve(spark)
+    curve = _table_curve(spark, sf_dir)
     partial = curve.where("percentage = 2").withColumn("n_points", F.col("n_points") + 7)
     return curves.available(curve.unionByName(curve.where("percentage = 5").withColumn("percentage", F.lit(31))), partial, "state", "scope").select("scope", "percentage", "n_points")
 
@@ -631,7 +672,9 @@ def _prefix_errors(points: DataFrame, percentage: int = 10) -> DataFrame:
     return statistics.compare(points, samples, "state")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FPS}, {_SIZES.format('10')}, sample AS (SELECT p.* FROM p JOIN ranks USING (state, row_pos) JOIN keep USING (state) WHERE fps_rank < n_keep),
+a AS (SELECT state, {_RAW} FROM p GROUP BY state), b AS (SELECT state, {_RAW} FROM sample GROUP BY state)
+SELECT a.state, a.n AS n_exact, coalesce(b.n, 0) AS n_displayed, {_ERRORS} FROM a LEFT JOIN b USING (state)""")
 def fps_compare(spark, sf_dir):
     """Each state's 10 % farthest-point sample against all of its points."""
     return _errors(_prefix_errors(vector_points(spark, sf_dir)), "state")
