@@ -213,8 +213,9 @@ def _scored(featured: DataFrame, model: LogisticRegressionModel) -> DataFrame:
 
 def _corpus_sample(docs: DataFrame, options: ScanOptions, id_col: str, text_col: str) -> list[str]:
     """Different paragraphs without a licence, at most sample_paragraphs of them."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("trim(_text) <> ''")
-    rows = rows.orderBy(F.xxhash64("_text"), F.xxhash64("_id")).limit(options.sample_docs)
+    rows = docs.select(F.col(text_col).alias("_text")).where("trim(_text) <> ''").withColumn("_hash", F.xxhash64("_text"))
+    last = rows.select("_hash").distinct().orderBy("_hash").limit(options.sample_docs).agg(F.max("_hash")).first()[0]
+    rows = rows.where(F.col("_hash") <= F.lit(last)) if last is not None else rows
     lines = rows.select(F.explode(F.split("_text", "\n")).alias("_paragraph")).where("trim(_paragraph) <> ''").select(F.substring("_paragraph", 1, 2000).alias("_paragraph")).distinct()
     sample = [r._paragraph for r in lines.orderBy(F.xxhash64("_paragraph")).limit(options.sample_paragraphs).collect()]
     own = [set(grams) for _, _, grams in templates()]
