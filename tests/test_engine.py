@@ -9,6 +9,7 @@ from pointlens.functions import columns as C
 from pointlens.operators import curves, geometry, pixels, sampling, topology
 from pointlens.operators import fps
 from pointlens.operators.pixels import Viewport
+from pointlens.operators.spanning import spanning_tree
 from pointlens.operators.scope import Scope, county_labels, in_scope, method_coverage
 from pointlens.plans.engine import Engine, MissingCurve
 from pointlens.plans.registry import ORACLE_SQL, QUERIES, event_points, vector_points
@@ -145,6 +146,25 @@ def test_diagrams_of_known_samples():
     assert topology.h1_pairs(line).shape == (0, 2) and len(topology.h0_deaths(line)) == 5
 
 
+@pytest.mark.parametrize("tile_rows", [12, 60, 1000])
+def test_spanning_tree_by_all_tasks(spark, tile_rows):
+    rng = np.random.default_rng(7)
+    for p in (rng.random((150, 2)), np.vstack([rng.random((60, 2)), rng.random((60, 2)) + 50, [[300.0, 300.0]]]), rng.integers(0, 8, (90, 2)).astype(float), np.ones((5, 2))):
+        points = spark.createDataFrame([tuple(map(float, q)) for q in p], "lat double, lng double").repartition(3)
+        found = sorted(r.d2 / 4 for r in spanning_tree(points, tile_rows).collect())
+        assert found == pytest.approx(topology.h0_deaths(p).tolist())
+
+
+def test_diagrams_of_large_groups(spark, sf_dir):
+    points = vector_points(spark, sf_dir)
+    order = lambda df: sorted((r.state, r.n_points, [tuple(x) for x in r.h0], [tuple(x) for x in r.h1]) for r in df.collect())
+    some = points.where("state IN ('1', '2')")
+    by_one, by_all = order(topology.diagrams(some, "state")), order(topology.diagrams(some, "state", task_rows=20))
+    assert len(by_one) == 2
+    for a, b in zip(by_one, by_all):
+        assert a[:2] == b[:2] and a[3] == b[3] and np.allclose(a[2], b[2])
+
+
 def test_triangulations_are_delaunay():
     rng = np.random.default_rng(2)
     for n in (4, 9, 40):
