@@ -211,7 +211,7 @@ def _scored(featured: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     return scored.withColumn("_number", F.array_position(F.slice("_p", 2, len(TEXTS)), F.col("_top")).cast("int")).drop("_p")
 
 
-def _corpus_sample(docs: DataFrame, options: ScanOptions, id_col: str, text_col: str) -> list[str]:
+def _corpus_sample(docs: DataFrame, options: ScanOptions, text_col: str) -> list[str]:
     """Different paragraphs without a licence, at most sample_paragraphs of them."""
     rows = docs.select(F.col(text_col).alias("_text")).where("trim(_text) <> ''").withColumn("_hash", F.xxhash64("_text"))
     last = rows.select("_hash").distinct().orderBy("_hash").limit(options.sample_docs).agg(F.max("_hash")).first()[0]
@@ -227,10 +227,10 @@ def _corpus_sample(docs: DataFrame, options: ScanOptions, id_col: str, text_col:
     return [p for p in sample if not licensed(p)]
 
 
-def train(docs: DataFrame, options: ScanOptions = ScanOptions(), id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+def train(docs: DataFrame, options: ScanOptions = ScanOptions(), text_col: str = "text") -> Classifier:
     spark = docs.sparkSession
     number = {c: i for i, c in enumerate(CLASSES)}
-    plain = _corpus_sample(docs, options, id_col, text_col)
+    plain = _corpus_sample(docs, options, text_col)
     rows = [(t, 0, i % 4 == 0) for i, t in enumerate(plain)] + [(t, 0, i % 2 == 1) for i, t in enumerate(PLAIN)]
     rows += [(t, number[family], False) for t, family in training_texts()] + [(t, number[family], True) for t, family in held_out_texts()]
     table = _featured(spark.createDataFrame(rows, "_paragraph string, label int, held boolean").coalesce(1)).drop("_two", "_paragraph").persist()
@@ -306,7 +306,7 @@ def units_of(text: Column) -> Column:
 
 def scan(docs: DataFrame, options: ScanOptions = ScanOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, licenses (sorted families, comma-joined), n_licensed and n_unknown (paragraphs with a family, with an unknown licence)."""
-    classifier = train(docs, options, id_col, text_col)
+    classifier = train(docs, options, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     units = rows.select("_id", "_hash", F.explode(units_of(F.col("_text"))).alias("_u"))
     units = units.select("_id", "_hash", F.col("_u.paragraph").alias("_at"), F.col("_u.line").alias("_line"), F.col("_u.words").alias("_paragraph"))
