@@ -74,13 +74,19 @@ def baseline_sample(points: DataFrame, scope: Scope, chosen: Baseline, spacing:
     return ranked.join(kept, "fps_rank", "left_semi").drop("px", "py")
 
 
-def baseline_entry(points: DataFrame, scope: Scope, chosen: Baseline, spacing: float | None = None) -> DataFrame:
-    """One row: the baseline's figures on a scope, with the four distances between its sample and all points."""
+def baseline_entry(points: DataFrame, scope: Scope, chosen: Baseline, spacing: float | None = None, known: DataFrame | None = None) -> DataFrame:
+    """One row: the baseline's figures on a scope, with the four distances between its sample and all points.
+
+    known: n_points and the distances, if they are kept already (a curve's row).
+    """
     spacing = source_spacing(points, chosen) if spacing is None else spacing
     own = with_coordinates(in_scope(points, scope)).withColumn("_all", F.lit(0))
-    sample = baseline_sample(points, scope, chosen, spacing).withColumn("_all", F.lit(0))
-    whole = diagrams(own, "_all").select("_all", F.col("n_points").alias("n_source_points"), F.col("h0").alias("ref_h0"), F.col("h1").alias("ref_h1"))
-    measured = with_distances(diagrams(sample, "_all").join(whole, "_all"))
+    if known is not None:
+        measured = known.select("n_points", *METRICS).join(F.broadcast(own.agg(F.count("*").cast("int").alias("n_source_points"))))  # one row each
+    else:
+        sample = baseline_sample(points, scope, chosen, spacing).withColumn("_all", F.lit(0))
+        whole = diagrams(own, "_all").select("_all", F.col("n_points").alias("n_source_points"), F.col("h0").alias("ref_h0"), F.col("h1").alias("ref_h1"))
+        measured = with_distances(diagrams(sample, "_all").join(whole, "_all"))
     return measured.select(
         F.lit(chosen.key).alias("baseline_key"),
         F.lit(chosen.label).alias("baseline_label"),

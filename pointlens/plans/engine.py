@@ -7,17 +7,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlens.functions.columns import route_key, scope_label, threshold_text
+from pointlens.functions.columns import normalized, route_key, scope_label, threshold_text
 from pointlens.operators import curves, density, geometry, statistics
 from pointlens.operators.fps import fps_order
 from pointlens.operators.pixels import Viewport, pixel_sample
-from pointlens.operators.sampling import PERCENTAGES, random_sample
+from pointlens.operators.sampling import PERCENTAGES, configured, random_sample
 from pointlens.operators.scope import Scope, all_scopes, counts, county_labels, coverage, in_scope
 from pointlens.operators.topology import METRICS, diagrams, with_distances
 from pointlens.plans.baselines import BASELINES, baseline, baseline_entry, baseline_sample
 from pointlens.sources import store
 from pointlens.sources.boundaries import resolve
 from pointlens.sources.points import frame_signature, with_coordinates
+from pointlens.sources.shared import checkpoint
 
 METHODS = ("all", "pixel", "random", "fps_threshold")
 PROPERTIES = ("statistical", "density", "topological")
@@ -26,6 +27,7 @@ CURVE = ", ".join(
     + [f"{m} double" for m in METRICS]
     + [f"{c} string" for c in store.SCOPE]
 )
+ORDER = ", ".join(["row_pos long", "fps_rank long"] + [f"{c} string" for c in store.SCOPE])
 MANIFEST = "zoom string, state string, county string, n_rows long, first_id string, last_id string, content_hash decimal(38,0), written_at timestamp"
 
 
@@ -54,16 +56,44 @@ class Engine:
         rows = store.of_scope(found, scope.zoom, scope.state, scope.county).drop(*store.SCOPE)
         return curves.available(rows, rows.limit(0), scope.zoom)
 
-    def build(self, scope: Scope, most: int = 100) -> None:
-        """Compute and keep a scope's curve up to a percentage, unless the kept one is complete and its points are the present ones."""
+    def _signature(self, scope: Scope) -> DataFrame:
         own = in_scope(self.points, scope).withColumns({"zoom": F.lit(scope.zoom), "state": F.lit(scope.state), "county": F.lit(scope.county)})
-        signature = frame_signature(own, *store.SCOPE)
-        kept = store.latest(store.read_or_empty(self.spark, f"{self.path}/manifest", MANIFEST), *store.SCOPE)
-        complete = curves.completeness(self._curve(scope), scope.zoom, most=most).where("complete")
-        if not store.valid(kept, signature, *store.SCOPE).isEmpty() and not complete.isEmpty():
+        return frame_signature(own, *store.SCOPE)
+
+    def _is_valid(self, scope: Scope, table: str) -> bool:
+        """Whether a kept table of a scope is of its present points."""
+        kept = store.latest(store.read_or_empty(self.spark, f"{self.path}/{table}_manifest", MANIFEST), *store.SCOPE)
+        return not store.valid(kept, self._signature(scope), *store.SCOPE).isEmpty()
+
+    def order(self, scope: Scope) -> DataFrame:
+        """row_pos, fps_rank of all points of a scope. It is computed once and kept while the points stay the same."""
+        own = with_coordinates(in_scope(self.points, scope))
+        if not self._is_valid(scope, "orders"):
+            names = {c: F.lit(v) for c, v in zip(store.SCOPE, (scope.zoom, scope.state, scope.county))}
+            store.write_curve(fps_order(own).withColumns(names), f"{self.path}/orders")
+            store.append(self._signature(scope), f"{self.path}/orders_manifest")
+        found = store.read_or_empty(self.spark, f"{self.path}/orders", ORDER)
+        return store.of_scope(found, scope.zoom, scope.state, scope.county).select("row_pos", "fps_rank")
+
+    def build(self, scope: Scope, most: int = 100) -> None:
+        """Compute and keep a scope's curve up to a percentage: only the percentages that are not there yet, all if its points have changed."""
+        wanted = set(configured(scope.zoom, most))
+        kept = self._curve(scope) if self._is_valid(scope, "curves") else None
+        missing = sorted(wanted - ({r.percentage for r in kept.select("percentage").collect()} if kept is not None else set()))  # a hundred at most
+        if not missing:
             return
-        store.write_curve(curves.error_curve(own, scope.zoom, *store.SCOPE, most=most), f"{self.path}/curves")
-        store.append(signature, f"{self.path}/manifest")
+        names = {c: F.lit(v) for c, v in zip(store.SCOPE, (scope.zoom, scope.state, scope.county))}
+        own = in_scope(self.points, scope).withColumns(names)
+        fresh = curves.error_curve(own, scope.zoom, *store.SCOPE, percentages=missing, order=self.order(scope).withColumns(names))
+        if kept is not None:
+            fresh = checkpoint(curves.overlay(kept.withColumns(names), fresh, *store.SCOPE))  # its old folder is replaced
+        store.write_curve(fresh, f"{self.path}/curves")
+        store.append(self._signature(scope), f"{self.path}/curves_manifest")
+
+    def ensure(self, scope: Scope, most: int = 100) -> DataFrame:
+        """The scope's curve up to a percentage, built as far as it is missing."""
+        self.build(scope, most)
+        return self._curve(scope).where(F.col("percentage") <= most)
 
     def status(self, scope: Scope) -> DataFrame:
         """One row: what is there of a scope's curve."""
@@ -114,7 +144,9 @@ class Engine:
     def entry(self, scope: Scope, baseline_key: object) -> DataFrame:
         chosen = baseline(baseline_key)
         if (scope, chosen.key) not in self._entries:
-            self._entries[scope, chosen.key] = baseline_entry(self.points, scope, chosen)
+            own = self._curve(scope).where(F.col("percentage") == chosen.percentage) if scope == chosen.source and self._is_valid(scope, "curves") else None
+            known = None if own is None or own.isEmpty() else own  # the source's own sample is a row of its curve
+            self._entries[scope, chosen.key] = baseline_entry(self.points, scope, chosen, known=known)
         return self._entries[scope, chosen.key]
 
     def sample(self, scope: Scope, method: str = "pixel", retain: int = 50, threshold: float | None = None, baseline_key: object = None, view: Viewport | None = None) -> DataFrame:
@@ -138,8 +170,12 @@ class Engine:
             itself = 0.0 if base.bottleneck_h0 <= 0 else 1.0
             if itself <= max(0.0, self.default_threshold if threshold is None else threshold) and base.n_points <= chosen.n_points:
                 return baseline_sample(self.points, scope, baseline(baseline_key)).drop("fps_rank")
-        stepped = own.withColumn("_steps", F.lit(chosen.n_points))
-        return own.join(fps_order(stepped, steps_col="_steps"), "row_pos").where(F.col("fps_rank") < chosen.n_points).drop("fps_rank")
+        if scope.zoom == "county" and self.providers:  # only points inside the boundary are ordered
+            stepped = own.withColumn("_steps", F.lit(chosen.n_points))
+            ranks = fps_order(stepped, steps_col="_steps")
+        else:
+            ranks = self.order(scope).where(F.col("fps_rank") < chosen.n_points)
+        return own.join(ranks, "row_pos").where(F.col("fps_rank") < chosen.n_points).drop("fps_rank")
 
     # analyses ----------------------------------------------------------------------------------------------------------
 
@@ -152,10 +188,33 @@ class Engine:
             return density.difference(whole, reduced)
         if what != "topological":
             raise ValueError(f"unknown property {what!r}")
-        keyed = lambda df: with_coordinates(df).withColumn("_all", F.lit(0))
-        ref = diagrams(keyed(whole), "_all").select("_all", F.col("h0").alias("ref_h0"), F.col("h1").alias("ref_h1"), F.col("n_points").alias("n_exact"))
-        pairs = diagrams(keyed(reduced), "_all").join(ref, "_all").withColumn("original", F.struct("ref_h0", "ref_h1")).withColumn("reduced", F.struct("h0", "h1"))
-        return with_distances(pairs).drop("_all").withColumnRenamed("n_points", "n_displayed")
+        pairs = self._diagrams(reduced).join(self._whole_diagrams(scope, whole), "_all").withColumn("original", F.struct("ref_h0", "ref_h1")).withColumn("reduced", F.struct("h0", "h1"))
+        found = with_distances(pairs).withColumnRenamed("n_points", "n_displayed")
+        return self._with_blocks(found, scope, how.get("baseline_key")).drop("_all")
+
+    @staticmethod
+    def _diagrams(points: DataFrame) -> DataFrame:
+        return diagrams(with_coordinates(points).withColumn("_all", F.lit(0)), "_all")
+
+    def _whole_diagrams(self, scope: Scope, whole: DataFrame) -> DataFrame:
+        """Diagrams of all points of a scope: those of its curve's row of 100 %, if it is there."""
+        if not (scope.zoom == "county" and self.providers) and self._is_valid(scope, "curves"):
+            row = self._curve(scope).where("percentage = 100")
+            if not row.isEmpty():
+                return row.select(F.lit(0).alias("_all"), F.col("h0").alias("ref_h0"), F.col("h1").alias("ref_h1"), F.col("n_points").alias("n_exact"))
+        return self._diagrams(whole).select("_all", F.col("h0").alias("ref_h0"), F.col("h1").alias("ref_h1"), F.col("n_points").alias("n_exact"))
+
+    def _with_blocks(self, found: DataFrame, scope: Scope, baseline_key: object) -> DataFrame:
+        """Adds baseline, current and normalized, structs of the four metrics; without a curve, baseline and normalized are null."""
+        metrics = lambda values: F.struct(*[v.alias(m) for m, v in zip(METRICS, values)])
+        found = found.withColumn("current", metrics([F.col(m) for m in METRICS]))
+        key = str(baseline_key or "1")
+        curve = self._curve(scope)
+        base = curve.limit(0) if curve.isEmpty() else curves.baseline_row(curve, int(key), scope.zoom) if key.isdigit() else self.entry(scope, key)
+        blocks = base.select(F.lit(0).alias("_of"), metrics([F.col(m) for m in METRICS]).alias("baseline"))
+        joined = found.join(F.broadcast(blocks), F.col("_all") == F.col("_of"), "left").drop("_of")  # one row
+        share = metrics([normalized(m, F.col(f"baseline.{m}")) for m in METRICS])
+        return joined.withColumn("normalized", F.when(F.col("baseline").isNotNull(), share))
 
     # the rest of the surface -------------------------------------------------------------------------------------------
 
@@ -164,7 +223,7 @@ class Engine:
 
     def meta(self) -> DataFrame:
         """state, counties with curves, of the kept scopes."""
-        return coverage(store.read_or_empty(self.spark, f"{self.path}/manifest", MANIFEST))
+        return coverage(store.read_or_empty(self.spark, f"{self.path}/curves_manifest", MANIFEST))
 
     def routes(self, thresholds: tuple[float, ...] = (0.25, 0.5, 0.75), percentages: tuple[int, ...] = (3, 4, 26, 50)) -> DataFrame:
         """zoom, state, county, method, parameters and route of every data query over all scopes."""

@@ -300,9 +300,9 @@ def test_engine_end_to_end(spark, sf_dir, tmp_path):
     engine.build(state, most=30)
     status = engine.status(state).first()
     assert status.available and not status.complete and status.row_count == 30 and status.exact_count == n
-    written = store.read_or_empty(spark, f"{tmp_path}/store/manifest", "zoom string").count()
+    written = store.read_or_empty(spark, f"{tmp_path}/store/curves_manifest", "zoom string").count()
     engine.build(state, most=30)  # nothing changed, nothing is written
-    assert store.read_or_empty(spark, f"{tmp_path}/store/manifest", "zoom string").count() == written
+    assert store.read_or_empty(spark, f"{tmp_path}/store/curves_manifest", "zoom string").count() == written
     chosen = engine.selection(state, 0.5, 1).first()
     assert engine.sample(state, "fps_threshold", threshold=0.5, baseline_key=1).count() == chosen.n_points
     assert engine.sample(state, "fps_threshold", threshold=0.5, baseline_key="country_1pct_distance").count() >= 1
@@ -322,6 +322,30 @@ def test_engine_end_to_end(spark, sf_dir, tmp_path):
         engine.export(str(tmp_path / "out"), routes.select("route", "method"))
 
 
+def test_curves_grow_and_orders_and_diagrams_are_kept(spark, sf_dir, tmp_path, monkeypatch):
+    from pointlens.plans import engine as facade
+
+    points, state = vector_points(spark, sf_dir).where("state IN ('3', '4')"), Scope("state", "3")
+    engine = Engine(points, str(tmp_path / "store"))
+    asked = []
+    computed = curves.error_curve
+    monkeypatch.setattr(facade.curves, "error_curve", lambda *a, **k: asked.append(k["percentages"]) or computed(*a, **k))
+    assert engine.ensure(state, 3).count() == 3 and engine.ensure(state, 5).count() == 5
+    assert asked == [[1, 2, 3], [4, 5]]  # what is there is not computed again
+    engine.build(state)
+    assert engine.status(state).first().complete
+    assert engine.ensure(state, 30).count() == 30 and len(asked) == 3
+    whole = computed(in_scope(points, state), "state", percentages=[2, 5, 100]).orderBy("percentage").collect()
+    kept = engine.ensure(state).where("percentage IN (2, 5, 100)").orderBy("percentage").collect()
+    assert [(r.percentage, r.n_points, r.bottleneck_h0) for r in kept] == [(r.percentage, r.n_points, r.bottleneck_h0) for r in whole]
+    monkeypatch.setattr(facade, "fps_order", None)  # the kept order serves samples
+    row = engine.analyze(state, "fps_threshold", "topological", threshold=0.5, baseline_key=5).first()
+    assert row.current.bottleneck_h0 == row.bottleneck_h0 and row.baseline.bottleneck_h0 == kept[1].bottleneck_h0
+    assert row.normalized.bottleneck_h0 == pytest.approx(row.current.bottleneck_h0 / row.baseline.bottleneck_h0)
+    changed = Engine(points.where("row_pos > 10"), str(tmp_path / "store"))
+    assert not changed._is_valid(state, "orders") and not changed._is_valid(state, "curves")
+
+
 def test_sanitized_payloads(spark):
     rows = spark.createDataFrame([("/home/me/x/a.csv", "/home/me/x", 1)], "sample_path string, cache_path string, n int")
     assert [tuple(r) for r in store.sanitized(rows, "/home/me").collect()] == [("<data>/x/a.csv", 1)]
