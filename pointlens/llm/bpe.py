@@ -6,7 +6,7 @@ adjacent pairs of all new words of a slice of texts at once. Only words with a f
 
 All steps work on arrays. A slice of texts is cut at single spaces, and each different piece is encoded once: a place before
 a single space that stands between visible characters is a cut of the word pattern, too. Pieces around other white space
-are joined again and go through the pattern together, with the same result. A worker keeps the ids of pieces that it has met, in two
+are joined again and go through the pattern together, with the same result. A task keeps the ids of pieces that it has met, in two
 generations, so that those that come again stay.
 
 Defined cases: a null text counts as empty and has no tokens; the strings of special tokens in a text become their
@@ -375,6 +375,11 @@ class Encoder:
         counts += [1] * len(single) + [len(self._cut(" " + p)) for p in special]
         self.young.update(zip(other + single + special, self._by_words(words, np.array(counts, np.int64))))
 
+    def forget(self) -> None:
+        """Give the memory of what was learned back, for the tasks of other stages that this worker may get."""
+        self.young, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def _look_up(self, pieces: list[str]) -> list[bytes | None]:
         young, old = self.young, self.old
         new = []
@@ -449,7 +454,7 @@ class Encoder:
         return [data[:-1] for data in self._strung(self.decimals, ids)]
 
 
-_encoders: dict[str, Encoder] = {}  # a worker keeps its encoder, with what it has learned, for its next tasks
+_encoders: dict[str, Encoder] = {}  # a worker keeps its encoder for its next tasks
 
 
 def encoder_for(model: BpeModel) -> Encoder:
@@ -491,6 +496,8 @@ def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, outputs: s
             for part, texts in text_slices(batch, "_text", SLICE_BYTES):
                 encoder = encoder or encoder_for(model.value)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *make(encoder, encoder.encode(texts))], [id_col, *names])
+        if encoder is not None:
+            encoder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(each, f"`{id_col}` {kind}, {outputs}")

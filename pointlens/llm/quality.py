@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlens.llm.common import checkpoint, text_slices
+from pointlens.llm.common import BROADCAST_ROWS, checkpoint, text_slices
 
 SLICE_BYTES = 1 << 20
 SCALE = 1 << 20  # fixed point of a log ratio
@@ -98,6 +98,26 @@ def _id_bits(trusted: DataFrame) -> np.ndarray:
     return out
 
 
+def _count_flagged(flagged: DataFrame, size: int) -> DataFrame:
+    """bucket, raw, target from _text and _trusted in one pass."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw_n, target_n = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for part, texts in text_slices(batch, "_text", SLICE_BYTES):
+                raw, start, end = _layout(texts)
+                grams = _buckets_of(raw, size)
+                inside = _inside(len(grams), start, end)
+                raw_n += np.bincount(grams[inside], minlength=size)
+                trust = part.column("_trusted").to_numpy(zero_copy_only=False).astype(bool)
+                target_n += np.bincount(grams[inside & np.repeat(trust, end - start)[: len(grams)]], minlength=size)
+        used = np.flatnonzero(raw_n)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw_n[used]), pa.array(target_n[used])], ["bucket", "raw", "target"])
+
+    return flagged.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+
 def _count(rows: DataFrame, size: int) -> DataFrame:
     """bucket, n: trigrams of the texts (`_text`) of rows, counted by task."""
 
@@ -115,14 +135,18 @@ def _count(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("_text").mapInArrow(count, "bucket int, n long")
 
 
-def count_ngrams(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_ngrams(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text", most_sent: int = BROADCAST_ROWS) -> DataFrame:
     """bucket, raw, target: trigram counts over all documents and over those whose id is in `trusted` (one column, id_col).
 
-    Only documents whose id has a bit of a trusted one meet the trusted ids in a join, so no other text is shuffled.
+    Trusted ids of a counted size are sent to the documents. More of them meet only documents whose id has a bit of a trusted one, so no
+    other text is shuffled.
     """
     good = checkpoint(trusted.select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("_good")).where("_good IS NOT NULL").distinct())
-    bits = docs.sparkSession.sparkContext.broadcast(_id_bits(good))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    if good.limit(most_sent + 1).count() <= most_sent:
+        flagged = rows.join(F.broadcast(good), F.col("_id") == F.col("_good"), "left").select("_text", F.col("_good").isNotNull().alias("_trusted"))
+        return _count_flagged(flagged, rules.buckets)
+    bits = docs.sparkSession.sparkContext.broadcast(_id_bits(good))
     raw = _count(rows, rules.buckets).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target"))
 
     def may_be_trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 
 from pointlens.llm import quality
-from pointlens.llm.quality import QualityRules
-from pointlens.llm.queries import op1_quality_rules
+from pointlens.llm.quality import QualityRules, count_ngrams
+from pointlens.llm.queries import op1_quality_rules, trusted_labels
 
 
 def base(text):
@@ -79,3 +79,9 @@ def test_edges(spark):
     expected = [(e, True, 0.5) for e, row in zip(EDGES, brute(EDGES, {4}, QualityRules())) if row[-2]]
     assert sorted([tuple(r) for r in kept.collect()], key=repr) == sorted([(*e, k, s) for e, k, s in expected], key=repr)
     assert quality.score_documents(docs.limit(0), labels).collect() == []
+
+
+def test_any_number_of_trusted_ids(spark, sf_dir):
+    docs, trusted = spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted_labels(spark, sf_dir)
+    both = [sorted(map(tuple, count_ngrams(docs, trusted, QualityRules(), most_sent=n).collect())) for n in (0, 10**6)]
+    assert both[0] == both[1] and any(target for _, _, target in both[0])
