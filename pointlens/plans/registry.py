@@ -450,11 +450,12 @@ def fps_samples(spark, sf_dir):
     return samples.select("state", "percentage", F.col("n_keep").cast("int").alias("n_keep"), "row_pos", "fps_rank")
 
 
-@query("""WITH s AS (SELECT unnest(['AZ', 'UT', 'NC']) AS state), q AS (SELECT unnest([3, 4, 26, 50]) AS percentage)
-SELECT state, percentage, CAST('0x' || substr(sha256('{"county": "", "method": "random", "retain_percentage": ' || percentage || ', "state": "' || state || '", "zoom": "state"}'), 1, 8) AS BIGINT) AS seed FROM s, q""")
+@query(f"""WITH {_view('customers')}, s AS (SELECT DISTINCT state, county FROM p), q AS (SELECT unnest([3, 4, 26, 50]) AS percentage)
+SELECT state, county, percentage, CAST('0x' || substr(sha256('{{"county": "' || county || '", "method": "random", "retain_percentage": ' || percentage || ', "state": "' || state || '", "zoom": "county"}}'), 1, 8) AS BIGINT) AS seed FROM s, q""")
 def random_seeds(spark, sf_dir):
-    each = spark.createDataFrame([(s, p) for s in ("AZ", "UT", "NC") for p in (3, 4, 26, 50)], "state string, percentage int")
-    return each.withColumn("seed", C.random_seed(F.lit("state"), F.col("state"), F.lit(""), F.col("percentage")))
+    scopes = customer_points(spark, sf_dir).select("state", "county").distinct()
+    each = scopes.withColumn("percentage", F.explode(F.array(*[F.lit(p) for p in (3, 4, 26, 50)])))
+    return each.withColumn("seed", C.random_seed(F.lit("county"), F.col("state"), F.col("county"), F.col("percentage")))
 
 
 @query()
@@ -589,16 +590,16 @@ def curve_figures(spark, sf_dir):
 
 # Names, keys, lookups --------------------------------------------------------------------------------------------------
 
-_COUNTIES = ["St. Louis County", " Orleans Parish ", "Fairfax", "Anchorage Municipality", "Juneau City and Borough", "Nome  Census Area", "De Kalb:x/y"]
-_COUNTY_VALUES = ", ".join(f"('{c}')" for c in _COUNTIES)
+_COUNTY_FORMS = ["St. {} County", " {} Parish ", "{}", "{} Municipality", "{}  City and Borough", "{}  Census Area", "De {}:x/y"]
+_COUNTY_NAMES = "CASE row_pos % 7 " + " ".join(f"WHEN {i} THEN replace('{form}', '{{}}', county)" for i, form in enumerate(_COUNTY_FORMS)) + " END"
 
 
-@query(f"""WITH c AS (SELECT county, lower(trim(county)) AS low FROM (VALUES {_COUNTY_VALUES}) v(county)),
+@query(f"""WITH {_view('customers')}, c AS (SELECT DISTINCT {_COUNTY_NAMES} AS county FROM p), l AS (SELECT county, lower(trim(county)) AS low FROM c),
 d AS (SELECT county, CASE WHEN low LIKE '% county' THEN left(low, -7) WHEN low LIKE '% parish' THEN left(low, -7) WHEN low LIKE '% borough' THEN left(low, -8)
-  WHEN low LIKE '% census area' THEN left(low, -12) WHEN low LIKE '% municipality' THEN left(low, -13) ELSE low END AS cut FROM c)
+  WHEN low LIKE '% census area' THEN left(low, -12) WHEN low LIKE '% municipality' THEN left(low, -13) ELSE low END AS cut FROM l)
 SELECT county, trim(regexp_replace(replace(cut, '.', ' '), '\\s+', ' ', 'g')) AS normal, translate(county, '\\/: ', '____') AS safe FROM d""")
 def normalize_county(spark, sf_dir):
-    names = spark.createDataFrame([(c,) for c in _COUNTIES], "county string")
+    names = customer_points(spark, sf_dir).select(F.expr(_COUNTY_NAMES).alias("county")).distinct()
     return names.select("county", C.normalize_county("county").alias("normal"), C.safe_name("county").alias("safe"))
 
 
@@ -645,10 +646,11 @@ def route_snapshots(spark, sf_dir):
     return store.snapshots(store.sanitized(rows, "/home/me"), "route", F.struct("state", "path"))
 
 
-@query("SELECT * FROM (VALUES (0, 0.5), (1, 2.0), (2, 4.0)) v(bin, centre)")
+@query(f"""WITH {_view('events')}, x AS (SELECT min(lat) AS a, max(lat) AS b FROM p), i AS (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS bin)
+SELECT bin, round((a + (b - a) * bin / 50 + a + (b - a) * (bin + 1) / 50) / 2, 6) AS centre FROM x, i""")
 def density_centres(spark, sf_dir):
-    edges = F.array(*[F.lit(x) for x in (0.0, 1.0, 3.0, 5.0)])
-    return spark.range(1).select(F.posexplode(C.bin_centres(edges)).alias("bin", "centre"))
+    found = density.edges(density.extent(event_points(spark, sf_dir)))
+    return found.select(F.posexplode(C.bin_centres(F.col("lat_edges"))).alias("bin", "centre")).withColumn("centre", r6("centre"))
 
 
 @query(f"WITH {_CURVE_SQL} SELECT scope, percentage, CASE WHEN percentage = 2 THEN n_points + 7 ELSE n_points END AS n_points FROM k")
@@ -658,10 +660,13 @@ def curve_available(spark, sf_dir):
     return curves.available(curve.unionByName(curve.where("percentage = 5").withColumn("percentage", F.lit(31))), partial, "state", "scope").select("scope", "percentage", "n_points")
 
 
-@query("SELECT * FROM (VALUES (1, true, 0.0), (2, false, 2.5), (3, true, 0.0)) v(n, close, finite)")
+@query(f"""WITH {_view('events')} SELECT row_pos, abs(lat - b) <= greatest(1e-12 * greatest(abs(lat), abs(b)), 1e-15) AS close, CASE row_pos % 3 WHEN 0 THEN lng ELSE 0 END AS finite
+FROM (SELECT *, CASE WHEN row_pos % 2 = 0 THEN lat ELSE lat + 0.001 END AS b FROM p)""")
 def number_checks(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 1.0, 1.0 + 1e-13, float("nan")), (2, 1.0, 1.001, 2.5), (3, 0.0, 1e-16, float("inf"))], "n int, a double, b double, c double")
-    return rows.select("n", C.is_close("a", "b").alias("close"), C.finite("c").alias("finite"))
+    odd = F.when(F.col("row_pos") % 3 == 0, F.col("lng")).when(F.col("row_pos") % 3 == 1, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    other = F.when(F.col("row_pos") % 2 == 0, F.col("lat")).otherwise(F.col("lat") + 0.001)
+    rows = event_points(spark, sf_dir).select("row_pos", "lat", other.alias("b"), odd.alias("c"))
+    return rows.select("row_pos", C.is_close("lat", "b").alias("close"), C.finite("c").alias("finite"))
 
 
 # The flagship ----------------------------------------------------------------------------------------------------------
