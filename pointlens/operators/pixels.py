@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointlens.functions.columns import mercator_x, mercator_y
 from pointlens.sources.points import with_coordinates
-from pointlens.sources.shared import checkpoint, spread
+from pointlens.sources.shared import checkpoint, sized, spread
 
 #: Marker radius and stroke width in pixels.
 MARKERS = {"country": (3.2, 0.6), "state": (4.2, 0.6), "county": (4.2, 0.6)}
@@ -76,7 +76,7 @@ def fit_pixels(points: DataFrame, view: Viewport, *by: str, bounds: tuple[float,
     box = box.withColumns({"_x0": mercator_x("_w"), "_x1": mercator_x("_e"), "_y0": mercator_y("_s"), "_y1": mercator_y("_n")})
     scale = F.least(F.lit(float(wide)) / (F.col("_x1") - F.col("_x0")), F.lit(float(high)) / (F.col("_y1") - F.col("_y0")))
     box = box.withColumn("_scale", scale).select(*(by if bounds is None else ()), "_x0", "_x1", "_y0", "_y1", "_scale")
-    joined = placed.join(box, list(by)) if by and bounds is None else placed.join(F.broadcast(box))  # one row
+    joined = placed.join(sized(box), list(by)) if by and bounds is None else placed.join(F.broadcast(box))  # one row
     px = left + (wide - (F.col("_x1") - F.col("_x0")) * F.col("_scale")) / 2 + (mercator_x("lng") - F.col("_x0")) * F.col("_scale")
     py = top + (high - (F.col("_y1") - F.col("_y0")) * F.col("_scale")) / 2 + (F.col("_y1") - mercator_y("lat")) * F.col("_scale")
     return joined.withColumns({"px": px, "py": py}).drop("_x0", "_x1", "_y0", "_y1", "_scale")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointlens.functions.columns import n_keep, random_seed
 from pointlens.sources.points import with_coordinates
-from pointlens.sources.shared import checkpoint
+from pointlens.sources.shared import checkpoint, sized
 
 #: Retain percentages that a scope's error curve is built for.
 PERCENTAGES = {"country": [*range(1, 51), *range(55, 101, 5)], "state": [*range(1, 31), *range(32, 101, 2)], "county": [*range(1, 101)]}
@@ -32,7 +32,7 @@ def fps_prefixes(points: DataFrame, order: DataFrame, percentages: list[int], *b
     sizes = with_coordinates(points).groupBy(*by).agg(F.count("*").alias("n"))
     kept = retain_sizes(sizes, percentages).drop("n")
     ranked = with_coordinates(points).join(order, [*by, "row_pos"])
-    joined = ranked.join(kept, list(by)) if by else ranked.join(F.broadcast(kept))  # one row for each percentage
+    joined = ranked.join(sized(kept), list(by)) if by else ranked.join(F.broadcast(kept))  # one row for each percentage
     return joined.where(F.col("fps_rank") < F.col("n_keep"))
 
 
@@ -55,13 +55,14 @@ def draw(n: int, k: int, seed: int) -> np.ndarray:
 def random_sample(points: DataFrame, zoom: str, percentage: int, *by: str) -> DataFrame:
     """A seeded sample of each scope with `draw_rank`, its order. The seed depends on the scope and the percentage alone.
 
-    A task draws the places of a scope (numbers only); points come by a join on their place.
+    A task draws the places of a scope (numbers only, 8 bytes for each of its points); points come by a join on their place. A scope that is
+    kept whole is in order of its places.
     """
     percentage = max(1, min(100, int(percentage)))
     blank = F.lit("")
     placed = dense_positions(with_coordinates(points), *by)
     sizes = placed.groupBy(*by).agg(F.count("*").alias("n"))
-    sized = sizes.withColumn("k", n_keep("n", F.lit(percentage))).withColumn(
+    scopes = sizes.withColumn("k", n_keep("n", F.lit(percentage))).withColumn(
         "seed", random_seed(F.lit(zoom), F.col("state") if "state" in by else blank, F.col("county") if "county" in by else blank, F.lit(percentage))
     )
     kinds = "".join(f"{c} {points.schema[c].dataType.simpleString()}, " for c in by)
@@ -69,10 +70,13 @@ def random_sample(points: DataFrame, zoom: str, percentage: int, *by: str) -> Da
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in f.itertuples(index=False):
-                found = np.arange(row.n) if row.k >= row.n else draw(row.n, row.k, row.seed)
+                found = draw(row.n, row.k, row.seed)
                 for start in range(0, len(found), 1 << 16):
                     part = found[start : start + (1 << 16)]
                     yield pd.DataFrame({**{c: getattr(row, c) for c in by}, "place": part, "draw_rank": np.arange(start, start + len(part))}, columns=[*by, "place", "draw_rank"])
 
-    drawn = sized.mapInPandas(places, f"{kinds}place long, draw_rank long")
-    return placed.join(drawn, [*by, "place"]).drop("place")
+    drawn = scopes.where("k < n").mapInPandas(places, f"{kinds}place long, draw_rank long")
+    some = placed.join(drawn, [*by, "place"])
+    full = sized(scopes.where("k >= n").select(*by, F.lit(True).alias("_whole")))
+    whole = (placed.join(full, list(by)) if by else placed.join(full)).drop("_whole").withColumn("draw_rank", F.col("place"))
+    return some.unionByName(whole).drop("place")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -43,3 +44,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     For groups that take long for their bytes: Spark would put small partitions together by size and run their groups one after the other.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def sized(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table with a row for each scope or so, computed once: with a broadcast hint if it has at most `limit` rows.
+
+    Its other side then keeps its place, however many of its rows one scope has.
+    """
+    kept = checkpoint(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
