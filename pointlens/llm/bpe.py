@@ -375,11 +375,6 @@ class Encoder:
         counts += [1] * len(single) + [len(self._cut(" " + p)) for p in special]
         self.young.update(zip(other + single + special, self._by_words(words, np.array(counts, np.int64))))
 
-    def forget(self) -> None:
-        """Give the memory of what was learned back, for the tasks of other stages that this worker may get."""
-        self.young, self.old = {}, {}
-        pa.default_memory_pool().release_unused()
-
     def _look_up(self, pieces: list[str]) -> list[bytes | None]:
         young, old = self.young, self.old
         new = []
@@ -454,16 +449,6 @@ class Encoder:
         return [data[:-1] for data in self._strung(self.decimals, ids)]
 
 
-_encoders: dict[str, Encoder] = {}  # a worker keeps its encoder for its next tasks
-
-
-def encoder_for(model: BpeModel) -> Encoder:
-    if model.digest not in _encoders:
-        _encoders.clear()
-        _encoders[model.digest] = Encoder(model)
-    return _encoders[model.digest]
-
-
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids (array of int) and decoded (the text that the ids stand for). tokenizer: path of a byte-level tokenizer file on the driver."""
     return _run(docs, tokenizer, id_col, text_col, "ids array<int>, decoded string", _whole)
@@ -494,10 +479,10 @@ def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, outputs: s
         encoder = None
         for batch in batches:
             for part, texts in text_slices(batch, "_text", SLICE_BYTES):
-                encoder = encoder or encoder_for(model.value)
+                encoder = encoder or Encoder(model.value)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *make(encoder, encoder.encode(texts))], [id_col, *names])
-        if encoder is not None:
-            encoder.forget()
+        encoder = None
+        pa.default_memory_pool().release_unused()  # for the tasks of other stages that this worker may get
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(each, f"`{id_col}` {kind}, {outputs}")
