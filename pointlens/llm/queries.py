@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlens.llm import bpe, html, licenses, linededup, mixing, quality, secrets, simhash, tokenfile, topk
+from pointlens.llm import bpe, hardneg, html, licenses, linededup, mixing, quality, secrets, simhash, tokenfile, topk
 from pointlens.llm.common import shared_dir, table
 
 
@@ -68,7 +68,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_top_k, op3_line_dedup, op4_bpe, op5_simhash, op6_mix_sources, op7_license_scan, op8_secret_scan, op9_html_text, op10_token_files)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("_id") % 7 == 0, (F.col("_label") + 1) % 10).otherwise(F.col("_label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0, moved)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_top_k, op3_line_dedup, op4_bpe, op5_simhash, op6_mix_sources, op7_license_scan, op8_secret_scan, op9_html_text, op10_token_files, op11_hard_negatives)}
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE_SQL,
@@ -76,4 +81,5 @@ ORACLE_SQL = {
     "op3_line_dedup": linededup.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
     "op8_secret_scan": secrets.ORACLE_SQL,
+    "op11_hard_negatives": hardneg.ORACLE_SQL,
 }
