@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlens.llm import bpe, hardneg, html, licenses, linededup, mixing, quality, secrets, simhash, tokenfile, topk
+from pointlens.llm import bpe, hardneg, html, licenses, linededup, mixing, quality, secrets, simhash, tokenfile, topk, whitening
 from pointlens.llm.common import shared_dir, table
 
 
@@ -73,7 +73,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0, moved)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_top_k, op3_line_dedup, op4_bpe, op5_simhash, op6_mix_sources, op7_license_scan, op8_secret_scan, op9_html_text, op10_token_files, op11_hard_negatives)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_top_k, op3_line_dedup, op4_bpe, op5_simhash, op6_mix_sources, op7_license_scan, op8_secret_scan, op9_html_text, op10_token_files, op11_hard_negatives, op12_whitening)}
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE_SQL,
