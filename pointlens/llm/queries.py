@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlens.llm import bpe, hardneg, html, licenses, linededup, mixing, quality, secrets, simhash, tokenfile, topk, whitening
+from pointlens.llm import bpe, hardneg, html, licenses, linededup, mixing, packing, quality, secrets, simhash, tokenfile, topk, whitening
 from pointlens.llm.common import shared_dir, table
 
 
@@ -77,7 +77,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_top_k, op3_line_dedup, op4_bpe, op5_simhash, op6_mix_sources, op7_license_scan, op8_secret_scan, op9_html_text, op10_token_files, op11_hard_negatives, op12_whitening)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), shared_dir(spark), end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_top_k, op3_line_dedup, op4_bpe, op5_simhash, op6_mix_sources, op7_license_scan, op8_secret_scan, op9_html_text, op10_token_files, op11_hard_negatives, op12_whitening, op13_packing)}
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE_SQL,
