@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlens.sources.shared import checkpoint
+from pointlens.sources.shared import checkpoint, remove, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -21,11 +21,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top")).where("low > 1 OR low + top > 1").isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        # the least nodes are written as a table, so that Spark can split the hub of a join, whose two sides are then plain scans, and knows its size
+        least, at = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
         large = checkpoint(both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        remove(edges.sparkSession, at)
+        lowest, at = stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m"))
         moved = large.join(lowest, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(moved.unionByName(lowest.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        remove(edges.sparkSession, at)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

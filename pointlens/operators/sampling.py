@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from pointlens.sources.shared import checkpoint, sized
 PERCENTAGES = {"country": [*range(1, 51), *range(55, 101, 5)], "state": [*range(1, 31), *range(32, 101, 2)], "county": [*range(1, 101)]}
 
 
+BIN_ROWS = 50_000  # points of a bin that are ranked together
+
+
 def configured(zoom: str, most: int = 100) -> list[int]:
     return [p for p in PERCENTAGES[zoom] if p <= most]
 
@@ -36,14 +40,14 @@ def fps_prefixes(points: DataFrame, order: DataFrame, percentages: list[int], *b
     return joined.where(F.col("fps_rank") < F.col("n_keep"))
 
 
-def dense_positions(points: DataFrame, *by: str) -> DataFrame:
-    """Adds `place`: 0, 1, ... by row_pos inside each scope, without gathering a scope in one task."""
-    keys = [*by, "row_pos"]
+def dense_positions(points: DataFrame, *by: str, order: tuple[str, ...] = ("row_pos",)) -> DataFrame:
+    """Adds `place`: 0, 1, ... in the given order inside each scope, without gathering a scope in one task."""
+    keys = [*by, *order]
     ranged = checkpoint(points.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part", *by).count()
     before = F.sum("count").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # rows: partitions of a scope
     starts = sizes.select("_part", *by, F.coalesce(before, F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_part", *by).orderBy("row_pos")) - 1
+    inner = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
     return ranged.withColumn("_inner", inner).join(starts, ["_part", *by]).withColumn("place", F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")
 
 
@@ -80,3 +84,27 @@ def random_sample(points: DataFrame, zoom: str, percentage: int, *by: str) -> Da
     full = sized(scopes.where("k >= n").select(*by, F.lit(True).alias("_whole")))
     whole = (placed.join(full, list(by)) if by else placed.join(full)).drop("_whole").withColumn("draw_rank", F.col("place"))
     return some.unionByName(whole).drop("place")
+
+
+def keyed_sample(points: DataFrame, zoom: str, percentage: int, *by: str, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """A seeded sample of each scope with `draw_rank`: the n_keep points whose MD5 of "seed:row_pos" is smallest, in that order, without a task that draws.
+
+    The first digits of the digests are bins of about bin_rows points. Bins are counted, those beyond the bin that holds the last drawn point are left out
+    before anything is shuffled, and ranks inside a bin follow the counts of the bins before it. Seed and size are those of random_sample.
+    """
+    percentage = max(1, min(100, int(percentage)))
+    blank = F.lit("")
+    placed = with_coordinates(points)
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_k", n_keep("_n", F.lit(percentage)))
+    seed = random_seed(F.lit(zoom), F.col("state") if "state" in by else blank, F.col("county") if "county" in by else blank, F.lit(percentage))
+    scopes = sized(sizes.withColumn("_seed", seed))
+    most = scopes.agg(F.max("_n")).first()[0] or 0
+    digits = max(1, math.ceil(math.log(max(most / bin_rows, 1), 16)))
+    known = placed.join(scopes, list(by)) if by else placed.join(F.broadcast(scopes))  # one row
+    keyed = known.withColumn("_key", F.md5(F.concat_ws(":", "_seed", "row_pos"))).withColumn("_bin", F.substring("_key", 1, digits))
+    counts = keyed.groupBy(*by, "_bin", "_k").count()
+    before = F.sum("count").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # rows: bins of a scope
+    used = sized(counts.withColumn("_before", F.coalesce(before, F.lit(0))).where("_before < _k").select(*by, "_bin", "_before"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_key", "row_pos")) - 1
+    drawn = keyed.join(used, [*by, "_bin"]).withColumn("draw_rank", F.col("_before") + rank).where("draw_rank < _k")
+    return drawn.select(*points.columns, "draw_rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,14 @@ from pointlens.functions.columns import normalized, route_key, scope_label, thre
 from pointlens.operators import curves, density, geometry, statistics
 from pointlens.operators.fps import fps_order
 from pointlens.operators.pixels import Viewport, pixel_sample
-from pointlens.operators.sampling import PERCENTAGES, configured, random_sample
+from pointlens.operators.sampling import PERCENTAGES, configured, keyed_sample, random_sample
 from pointlens.operators.scope import Scope, all_scopes, counts, county_labels, coverage, in_scope
 from pointlens.operators.topology import METRICS, diagrams, with_distances
 from pointlens.plans.baselines import BASELINES, baseline, baseline_entry, baseline_sample
 from pointlens.sources import store
 from pointlens.sources.boundaries import resolve
 from pointlens.sources.points import frame_signature, with_coordinates
-from pointlens.sources.shared import checkpoint
+from pointlens.sources.shared import checkpoint, remove
 
 METHODS = ("all", "pixel", "random", "fps_threshold")
 PROPERTIES = ("statistical", "density", "topological")
@@ -42,6 +43,7 @@ class Engine:
     points: DataFrame
     path: str
     default_threshold: float = 0.5
+    keyed_draws: bool = False  # random samples by digests, which no task draws, instead of NumPy's generator
     providers: tuple = ()  # functions from a region id to ring points, asked in order
     _entries: dict = field(default_factory=dict)
 
@@ -60,18 +62,25 @@ class Engine:
         own = in_scope(self.points, scope).withColumns({"zoom": F.lit(scope.zoom), "state": F.lit(scope.state), "county": F.lit(scope.county)})
         return frame_signature(own, *store.SCOPE)
 
+    def _digest(self, scope: Scope) -> str:
+        """A folder name that changes with a scope's points."""
+        found = self._signature(scope).first()
+        return sha256(repr((scope, found and tuple(found))).encode()).hexdigest()[:32]
+
     def _is_valid(self, scope: Scope, table: str) -> bool:
         """Whether a kept table of a scope is of its present points."""
         kept = store.latest(store.read_or_empty(self.spark, f"{self.path}/{table}_manifest", MANIFEST), *store.SCOPE)
         return not store.valid(kept, self._signature(scope), *store.SCOPE).isEmpty()
 
     def order(self, scope: Scope) -> DataFrame:
-        """row_pos, fps_rank of all points of a scope. It is computed once and kept while the points stay the same."""
+        """row_pos, fps_rank of all points of a scope. It is computed once and kept while the points stay the same; a build that was stopped goes on after its last round."""
         own = with_coordinates(in_scope(self.points, scope))
         if not self._is_valid(scope, "orders"):
             names = {c: F.lit(v) for c, v in zip(store.SCOPE, (scope.zoom, scope.state, scope.county))}
-            store.write_curve(fps_order(own).withColumns(names), f"{self.path}/orders")
+            work = f"{self.path}/orders_work/{self._digest(scope)}"
+            store.write_curve(fps_order(own, path=work).withColumns(names), f"{self.path}/orders")
             store.append(self._signature(scope), f"{self.path}/orders_manifest")
+            remove(self.spark, work)
         found = store.read_or_empty(self.spark, f"{self.path}/orders", ORDER)
         return store.of_scope(found, scope.zoom, scope.state, scope.county).select("row_pos", "fps_rank")
 
@@ -158,7 +167,7 @@ class Engine:
             return pixel_sample(own, scope.zoom, view).drop("px", "py")
         if method == "random":
             by = {"country": (), "state": ("state",), "county": ("state", "county")}[scope.zoom]
-            return random_sample(own, scope.zoom, retain, *by).drop("draw_rank")
+            return (keyed_sample if self.keyed_draws else random_sample)(own, scope.zoom, retain, *by).drop("draw_rank")
         if method != "fps_threshold":
             raise ValueError(f"unknown method {method!r}")
         chosen = self.selection(scope, threshold, baseline_key).select("percentage", "n_points").first()

@@ -463,6 +463,15 @@ def random_sample(spark, sf_dir):
     return sampling.random_sample(event_points(spark, sf_dir), "state", 26, "state").select("state", "row_pos", "draw_rank")
 
 
+@query(f"""WITH {_view('events')}, n AS (SELECT state, count(*) AS n FROM p GROUP BY state),
+k AS (SELECT state, n, CAST(least(n, greatest(1, round_even(n * (26 / 100::DOUBLE), 0))) AS BIGINT) AS k,
+  CAST('0x' || substr(sha256('{{"county": "", "method": "random", "retain_percentage": 26, "state": "' || state || '", "zoom": "state"}}'), 1, 8) AS BIGINT) AS seed FROM n),
+r AS (SELECT state, row_pos, k, row_number() OVER (PARTITION BY state ORDER BY md5(seed || ':' || row_pos), row_pos) - 1 AS draw_rank FROM p JOIN k USING (state))
+SELECT state, row_pos, draw_rank FROM r WHERE draw_rank < k""")
+def keyed_sample(spark, sf_dir):
+    return sampling.keyed_sample(event_points(spark, sf_dir), "state", 26, "state").select("state", "row_pos", "draw_rank")
+
+
 # Topology and curves ---------------------------------------------------------------------------------------------------
 
 

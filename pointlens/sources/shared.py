@@ -26,10 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    place, system = _place(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place, system = _place(spark, path)
+    system.delete(place, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -38,6 +54,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to a new shared folder and read again, with the sizes that Spark then knows, and the folder, which the caller removes."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a key together, keys over all shuffle partitions.
 
