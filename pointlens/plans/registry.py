@@ -274,9 +274,37 @@ def point_in_polygon(spark, sf_dir):
     return geometry.containment(event_points(spark, sf_dir), geometry.edges_of_rings(region_rings(spark)))
 
 
-@query(f"WITH {_EDGES} SELECT region, min(cx) AS west, min(cy) AS south, max(cx) AS east, max(cy) AS north FROM e GROUP BY region")
+#: Corners of a region around its place (ring 1: a hole, where the key is divisible by 3): ring, pos, dx, dy.
+_SHAPE = [(0, 0, 0.0, 0.0), (0, 1, 3.0, 0.25), (0, 2, 2.5, 2.75), (0, 3, -0.5, 2.25), (1, 0, 1.0, 0.75), (1, 1, 2.0, 1.0), (1, 2, 1.25, 1.75)]
+
+
+def supplier_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each supplier: a four-sided ring at its place, some with a hole."""
+    placed = _formula(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", F.lit(None).cast("string"), F.lit(None).cast("string"))
+    shape = F.array(*[F.struct(F.lit(r).alias("ring"), F.lit(i).alias("pos"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for r, i, x, y in _SHAPE])
+    corners = placed.withColumn("c", F.explode(shape)).where("c.ring = 0 OR row_pos % 3 = 0")
+    return corners.select(F.col("id").alias("region"), F.lit(0).alias("poly"), "c.ring", "c.pos", (F.col("lng") + F.col("c.dx")).alias("lng"), (F.col("lat") + F.col("c.dy")).alias("lat"))
+
+
+_RINGS = f"""o AS (SELECT ring, pos, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy FROM (VALUES {', '.join(map(str, _SHAPE))}) v(ring, pos, dx, dy)),
+s AS (SELECT CAST(s_suppkey AS VARCHAR) AS region, s_suppkey AS k, CAST(24000 + (s_suppkey * s_suppkey * 7919 + s_suppkey * 31) % 25801 AS DOUBLE) / 1000 AS lat,
+  CAST((s_suppkey * s_suppkey * 104729 + s_suppkey * 17) % 59001 - 125000 AS DOUBLE) / 1000 AS lng FROM supplier),
+rp AS (SELECT region, 0 AS poly, ring, pos, lng + dx AS lng, lat + dy AS lat FROM s, o WHERE ring = 0 OR k % 3 = 0),
+e AS (SELECT region, poly, ring, coalesce(lag(lng) OVER w, last_value(lng) OVER u) AS px, coalesce(lag(lat) OVER w, last_value(lat) OVER u) AS py, lng AS cx, lat AS cy FROM rp
+  WINDOW w AS (PARTITION BY region, poly, ring ORDER BY pos), u AS (PARTITION BY region, poly, ring ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"""WITH {_view('events')}, {_RINGS},
+h AS (SELECT row_pos, region, poly, ring, count(*) % 2 = 1 AS odd FROM p JOIN e ON (py > p.lat) <> (cy > p.lat) AND p.lng < (cx - px) * (p.lat - py) / (CASE WHEN cy = py THEN 1e-12 ELSE cy - py END) + px GROUP BY ALL)
+SELECT row_pos, region FROM h WHERE odd GROUP BY row_pos, region, poly HAVING bool_or(ring = 0) AND NOT bool_or(ring > 0)""")
+def point_in_region(spark, sf_dir):
+    """Every event in every supplier's region, by the cell cover of all regions."""
+    return geometry.containment(event_points(spark, sf_dir), geometry.edges_of_rings(supplier_rings(spark, sf_dir)))
+
+
+@query(f"WITH {_RINGS} SELECT region, min(cx) AS west, min(cy) AS south, max(cx) AS east, max(cy) AS north FROM e GROUP BY region")
 def boundary_bounds(spark, sf_dir):
-    return geometry.bounds(region_rings(spark))
+    return geometry.bounds(supplier_rings(spark, sf_dir))
 
 
 @query(f"""WITH {_view('events')}, b AS (SELECT state, min(lng) AS w, min(lat) AS s, max(lng) AS e, max(lat) AS n FROM p GROUP BY state),
@@ -288,11 +316,11 @@ def bbox_feature(spark, sf_dir):
     return box.select("state", F.posexplode(ring).alias("corner", "p")).select("state", "corner", r6("p.lng").alias("lng"), r6("p.lat").alias("lat"))
 
 
-@query(f"""WITH {_EDGES}, c AS (SELECT *, avg(cx) OVER w AS mx, avg(cy) OVER w AS my, greatest((max(cx) OVER w - min(cx) OVER w) * 0.04, 0.005) AS sx, greatest((max(cy) OVER w - min(cy) OVER w) * 0.04, 0.005) AS sy FROM e WINDOW w AS (PARTITION BY region, poly, ring)),
+@query(f"""WITH {_RINGS}, c AS (SELECT *, avg(cx) OVER w AS mx, avg(cy) OVER w AS my, greatest((max(cx) OVER w - min(cx) OVER w) * 0.04, 0.005) AS sx, greatest((max(cy) OVER w - min(cy) OVER w) * 0.04, 0.005) AS sy FROM e WINDOW w AS (PARTITION BY region, poly, ring)),
 d AS (SELECT *, sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my)) AS norm FROM c)
 SELECT region, poly, ring, round(cx + (cx - mx) / norm * sx, 6) AS lng, round(cy + (cy - my) / norm * sy, 6) AS lat FROM d""")
 def pad_ring(spark, sf_dir):
-    rings = region_rings(spark).groupBy("region", "poly", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lng", "lat"))), lambda x: F.struct(x.lng.alias("lng"), x.lat.alias("lat"))).alias("p"))
+    rings = supplier_rings(spark, sf_dir).groupBy("region", "poly", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lng", "lat"))), lambda x: F.struct(x.lng.alias("lng"), x.lat.alias("lat"))).alias("p"))
     moved = rings.select("region", "poly", "ring", F.explode(geometry.padded_ring(F.col("p"))).alias("q"))
     return moved.select("region", "poly", "ring", r6("q.lng").alias("lng"), r6("q.lat").alias("lat"))
 
@@ -322,9 +350,33 @@ def fallback_boundary(spark, sf_dir):
     return corners.select("state", "county", "source", "corner", r6("p.lng").alias("lng"), r6("p.lat").alias("lat"))
 
 
-#: A topology of two neighbouring squares that share an arc: quantised steps of each arc.
-_ARCS = [[(10, 10), (20, 0), (0, 20)], [(30, 30), (-20, 0), (0, -20)], [(30, 10), (15, 0), (0, 20), (-15, 0)]]
-_USES = [("left", 0, 0, 0, 0), ("left", 0, 0, 1, 1), ("right", 0, 0, 0, 2)]
+@query(f"""WITH {_view('vectors')}, g AS (SELECT state, CAST(row_pos % 211 AS VARCHAR) AS county, lng, lat FROM p),
+b AS (SELECT state, county, min(lng) AS w, min(lat) AS s, max(lng) AS e, max(lat) AS n FROM g GROUP BY state, county HAVING count(DISTINCT (lng, lat)) < 3),
+c AS (SELECT *, greatest((e - w) * 0.08, 0.01) AS dx, greatest((n - s) * 0.08, 0.01) AS dy FROM b)
+SELECT state, county, 'bbox' AS source, CAST(unnest(range(0, 5)) AS INTEGER) AS corner, round(unnest([w - dx, e + dx, e + dx, w - dx, w - dx]), 6) AS lng, round(unnest([s - dy, s - dy, n + dy, n + dy, s - dy]), 6) AS lat FROM c""")
+def fallback_box(spark, sf_dir):
+    """Boundaries of scopes whose points have no hull."""
+    sparse = vector_points(spark, sf_dir).withColumn("county", (F.col("row_pos") % 211).cast("string"))
+    corners = geometry.fallback_rings(sparse, "state", "county").where("source = 'bbox'").select("state", "county", "source", F.posexplode("ring").alias("corner", "p"))
+    return corners.select("state", "county", "source", "corner", r6("p.lng").alias("lng"), r6("p.lat").alias("lat"))
+
+
+#: A row of unit squares, one for each supplier's key k, whose sides are arcs: left (3k), bottom (3k + 1) and top (3k + 2); the right side is the next square's left one.
+_STEPS = [(0, 0, 0, 0), (0, 1, 0, 1), (1, 0, 0, 0), (1, 1, 1, 0), (2, 0, 1, 1), (2, 1, -1, 0)]
+_SIDES = [(0, 0, 1), (1, 1, 0), (2, 0, 2)]  # part, square after its own, arc; the left side is the last part, backwards
+
+
+def supplier_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arc, pos, dx, dy: quantised steps of all squares' arcs."""
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.explode(F.array("s_suppkey", F.col("s_suppkey") + 1)).alias("k")).distinct()
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("a", "pos", "dx", "dy"), step)]) for step in _STEPS])
+    each = keys.withColumn("s", F.explode(steps))
+    first = F.when(F.col("s.pos") == 0, F.col("k")).otherwise(0)
+    return each.select((F.col("k") * 3 + F.col("s.a")).alias("arc"), "s.pos", (F.col("s.dx") + first).alias("dx"), "s.dy")
+
+
+_ARC_SQL = f"""k AS (SELECT DISTINCT unnest([s_suppkey, s_suppkey + 1]) AS k FROM supplier), t AS (SELECT * FROM (VALUES {', '.join(map(str, _STEPS))}) v(a, pos, dx, dy)),
+a AS (SELECT k * 3 + a AS arc, pos, dx + CASE WHEN pos = 0 THEN k ELSE 0 END AS dx, dy FROM k, t)"""
 
 
 @query(f"""WITH {_view('events')}, {_EDGES},
@@ -340,19 +392,18 @@ def point_bounds(spark, sf_dir):
     return geometry.point_bounds(event_points(spark, sf_dir), "state")
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (0, 0, 10, 10), (0, 1, 20, 0), (0, 2, 0, 20), (1, 0, 30, 30), (1, 1, -20, 0), (1, 2, 0, -20), (2, 0, 30, 10), (2, 1, 15, 0), (2, 2, 0, 20), (2, 3, -15, 0)) v(arc, pos, dx, dy))
-SELECT arc, pos, round(sum(dx) OVER w * CAST(0.25 AS DOUBLE) - 100, 6) AS lng, round(sum(dy) OVER w * CAST(0.5 AS DOUBLE) + 20, 6) AS lat FROM s WINDOW w AS (PARTITION BY arc ORDER BY pos)""")
+@query(f"""WITH {_ARC_SQL}
+SELECT arc, pos, round(sum(dx) OVER w * CAST(0.25 AS DOUBLE) - 100, 6) AS lng, round(sum(dy) OVER w * CAST(0.5 AS DOUBLE) + 20, 6) AS lat FROM a WINDOW w AS (PARTITION BY arc ORDER BY pos)""")
 def topojson_decode(spark, sf_dir):
-    steps = spark.createDataFrame([(a, i, dx, dy) for a, arc in enumerate(_ARCS) for i, (dx, dy) in enumerate(arc)], "arc int, pos int, dx int, dy int")
-    return geometry.decode_arcs(steps, (0.25, 0.5), (-100.0, 20.0)).withColumns({"lng": r6("lng"), "lat": r6("lat")})
+    return geometry.decode_arcs(supplier_arcs(spark, sf_dir), (0.25, 0.5), (-100.0, 20.0)).withColumns({"lng": r6("lng"), "lat": r6("lat")})
 
 
-@query("""SELECT * FROM (VALUES ('left', 0, 10, 10), ('left', 1, 30, 10), ('left', 2, 30, 30), ('left', 3, 10, 30), ('left', 4, 10, 10),
-('right', 0, 30, 10), ('right', 1, 45, 10), ('right', 2, 45, 30), ('right', 3, 30, 30), ('right', 4, 30, 10)) v(region, pos, lng, lat)""")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS region, CAST(unnest(range(0, 5)) AS INTEGER) AS pos, CAST(s_suppkey + unnest([0, 1, 1, 0, 0]) AS INTEGER) AS lng, unnest([0, 0, 1, 1, 0]) AS lat FROM supplier""")
 def topojson_rings(spark, sf_dir):
-    steps = spark.createDataFrame([(a, i, dx, dy) for a, arc in enumerate(_ARCS) for i, (dx, dy) in enumerate(arc)], "arc int, pos int, dx int, dy int")
-    uses = spark.createDataFrame(_USES, "region string, poly int, ring int, part int, arc int")
-    rings = geometry.stitch_rings(uses, geometry.decode_arcs(steps, (1.0, 1.0), (0.0, 0.0)))
+    sides = F.array(*[F.struct(F.lit(part).alias("part"), ((F.col("s_suppkey") + n) * 3 + a).alias("arc")) for part, n, a in _SIDES], F.struct(F.lit(3).alias("part"), (-F.col("s_suppkey") * 3 - 1).alias("arc")))
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.explode(sides).alias("u"))
+    uses = keys.select(F.col("s_suppkey").cast("string").alias("region"), F.lit(0).alias("poly"), F.lit(0).alias("ring"), "u.part", "u.arc")
+    rings = geometry.stitch_rings(uses, geometry.decode_arcs(supplier_arcs(spark, sf_dir), (1.0, 1.0), (0.0, 0.0)))
     return rings.select("region", "pos", F.col("lng").cast("int").alias("lng"), F.col("lat").cast("int").alias("lat"))
 
 
@@ -612,22 +663,42 @@ def normalize_county(spark, sf_dir):
     return names.select("county", C.normalize_county("county").alias("normal"), C.safe_name("county").alias("safe"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(r) for r in S.ROWS if r[1] in ("AZ", "UT", "NC", "PR")) + ") v(fips, code, name)")
+_CODES = [r[1] for r in S.ROWS]
+#: Every other state of the table stands for a nation; a segment's number is that of its first letter.
+_STATES = "st AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in S.ROWS) + f") v(fips, code, name)), pl AS (SELECT DISTINCT {_CODES!r}[2 * c_nationkey + 1] AS state, c_mktsegment AS segment FROM customer)"
+_ATLAS = "atl AS (SELECT DISTINCT fips || lpad(CAST(2 * (ascii(segment) - 64) + 1 AS VARCHAR), 3, '0') AS fips, segment || ' County' AS name, lower(segment) AS low FROM pl JOIN st ON code = state WHERE ascii(segment) <> 72)"
+
+
+def customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """state (a code), segment: where customers are."""
+    codes = F.array(*[F.lit(c) for c in _CODES])
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return customer.select(F.get(codes, 2 * F.col("c_nationkey")).alias("state"), F.col("c_mktsegment").alias("segment")).distinct()
+
+
+def customer_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fips (without leading zeros), name of counties: a county for each state and segment, but one segment that no atlas has."""
+    placed = customer_places(spark, sf_dir).where(F.ascii("segment") != 72).join(F.broadcast(S.state_table(spark)), F.col("state") == F.col("code"))  # 52 rows
+    number = F.lpad((2 * (F.ascii("segment") - 64) + 1).cast("string"), 3, "0")
+    return placed.select(F.concat("fips", number).cast("int").cast("string").alias("fips"), F.concat("segment", F.lit(" County")).alias("name")).distinct()
+
+
+@query(f"WITH {_STATES} SELECT fips, code, name FROM st WHERE code IN (SELECT state FROM pl)")
 def fips_lookup(spark, sf_dir):
-    return S.available_states(spark, spark.createDataFrame([(c,) for c in ("AZ", "UT", "NC", "PR", "XX")], "state string"))
+    return S.available_states(spark, customer_places(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('VA', 'Fairfax County', '51059', 'Fairfax'), ('NC', 'mecklenburg', '37119', 'Mecklenburg County')) v(state, county, fips, name)")
+@query(f"""WITH {_STATES}, {_ATLAS}, wanted AS (SELECT DISTINCT state, unnest([segment, ' ' || lower(segment) || ' Parish', segment || ' City']) AS county, lower(segment) AS low FROM pl)
+SELECT state, county, min(atl.fips) AS fips, arg_min(atl.name, atl.fips) AS name FROM wanted JOIN st ON code = state JOIN atl ON atl.fips[1:2] = st.fips AND atl.low = wanted.low WHERE county NOT LIKE '% City' GROUP BY state, county""")
 def county_match(spark, sf_dir):
-    wanted = spark.createDataFrame([("VA", "Fairfax County"), ("NC", "mecklenburg"), ("UT", "Nowhere")], "state string, county string")
-    atlas = spark.createDataFrame([("51600", "Fairfax"), ("51059", "Fairfax"), ("37119", "Mecklenburg County"), ("4001", "Apache")], "fips string, name string")
-    return S.match_counties(wanted, atlas)
+    names = F.array("segment", F.concat(F.lit(" "), F.lower("segment"), F.lit(" Parish")), F.concat("segment", F.lit(" City")))
+    wanted = customer_places(spark, sf_dir).select("state", F.explode(names).alias("county")).distinct()
+    return S.match_counties(wanted, customer_atlas(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('04', '04001,04003'), ('37', '37119')) v(state_fips, counties)")
+@query(f"WITH {_STATES}, {_ATLAS} SELECT fips[1:2] AS state_fips, string_agg(fips, ',' ORDER BY fips) AS counties FROM atl GROUP BY fips[1:2]")
 def counties_by_state(spark, sf_dir):
-    atlas = spark.createDataFrame([("37119",), ("4003",), ("4001",)], "fips string").withColumn("name", F.lit("x"))
-    return S.counties_by_state(atlas).withColumn("counties", F.array_join("counties", ","))
+    return S.counties_by_state(customer_atlas(spark, sf_dir)).withColumn("counties", F.array_join("counties", ","))
 
 
 @query(f"""WITH {_view('customers')}, s AS (SELECT DISTINCT state, county FROM p), r AS (SELECT *, '/api/labels/counties?state=' || replace(state, ' ', '+') || '&county=' || county AS route FROM s)
@@ -638,12 +709,16 @@ def route_keys(spark, sf_dir):
     return rows.select("state", "county", "route", C.route_digest("route").alias("name"), C.region_id("state", "county").alias("region"), C.job_key(F.lit("county"), "state", "county").alias("job"))
 
 
-@query("""SELECT * FROM (VALUES ('LA', 'Caddo', 'Caddo, Louisiana, United States|Caddo County, Louisiana, United States|Caddo Parish, Louisiana, United States'),
-('AK', 'Nome', 'Nome, Alaska, United States|Nome County, Alaska, United States|Nome Borough, Alaska, United States|Nome Census Area, Alaska, United States'),
-('NC', 'Wake County', 'Wake County, North Carolina, United States')) v(state, county, queries)""")
+@query(f"""WITH {_STATES}, w AS (SELECT DISTINCT state, name, unnest([segment, segment || ' County']) AS county FROM (SELECT state, segment FROM pl UNION ALL SELECT unnest(['LA', 'AK']), segment FROM pl) JOIN st ON code = state)
+SELECT state, county, array_to_string([county || ', ' || name || ', United States'] || CASE WHEN county LIKE '% County' THEN [] ELSE [county || ' County, ' || name || ', United States'] END
+  || CASE WHEN state = 'LA' AND county NOT LIKE '% County' THEN [county || ' Parish, ' || name || ', United States'] ELSE [] END
+  || CASE WHEN state = 'AK' AND county NOT LIKE '% County' THEN [county || ' Borough, ' || name || ', United States', county || ' Census Area, ' || name || ', United States'] ELSE [] END, '|') AS queries FROM w""")
 def county_queries(spark, sf_dir):
-    rows = spark.createDataFrame([("LA", "Caddo", "Louisiana"), ("AK", "Nome", "Alaska"), ("NC", "Wake County", "North Carolina")], "state string, county string, name string")
-    return rows.select("state", "county", F.array_join(C.county_queries("state", "name", "county"), "|").alias("queries"))
+    places = customer_places(spark, sf_dir)
+    more = places.select(F.explode(F.array(F.lit("LA"), F.lit("AK"))).alias("state"), "segment")  # states with names of their own for counties
+    rows = places.unionByName(more).join(F.broadcast(S.state_table(spark)), F.col("state") == F.col("code"))  # 52 rows
+    named = rows.select("state", "name", F.explode(F.array("segment", F.concat("segment", F.lit(" County")))).alias("county")).distinct()
+    return named.select("state", "county", F.array_join(C.county_queries("state", "name", "county"), "|").alias("queries"))
 
 
 @query(f"""WITH {_view('customers')}, s AS (SELECT DISTINCT state, county FROM p), r AS (SELECT '/api/data?zoom=county&method=pixel&state=' || state || '&county=' || county AS route, state, county FROM s)
