@@ -10,10 +10,12 @@ Tags are weights of the distribution:
 
 * Menus, headers and footers of the page, sidebars, notices, adverts, forms and reader comments (known by tag, role, class or id) weigh
   nothing and are not kept. Those that stand beside the text leave empty lines, adverts and notices in it leave none. An
-  element that is so named but holds an article, a main element, a headline or two thirds of the page's text wraps the text and
+  element that is so named but holds an article, a main element, a headline or more than half of the page's text (two thirds beside an article) wraps the text and
   counts as an ordinary one (comments never do).
-* If the page's article elements hold half of the weight, all other lines weigh nothing, and any weight is a surge; likewise for
-  main. Articles that hold less are teasers and have no privilege.
+* If the page's article elements hold half of the weight, all other lines weigh nothing, theirs weigh their whole text, lists of links too, and any weight is a
+  surge; likewise for main. Articles that hold less are teasers and have no privilege.
+* Where only elements that stand beside the text lie between two runs, they do not end the text: paragraphs that follow a surge, or lead to one, are
+  kept without a surge of their own.
 
 Inside a block, character references are decoded and white space becomes one space; a line break element is white space.
 
@@ -125,7 +127,9 @@ def _mark(tag: str, text: str, in_article: bool, window: int) -> Mark | None:
             return Mark("within", 0)
         if name in ("class", "id"):
             words |= _named(value)
-    if words & COMMENTS or any(w.startswith("comment") and not w.startswith(("commentar", "commentat")) for w in words):
+    if tag in ARTICLES and "article" in words:
+        words -= COMMENTS  # an article about or open to comments
+    elif words & COMMENTS or any(w.startswith("comment") and not w.startswith(("commentar", "commentat")) for w in words):
         return Mark("comments", window)
     if tag not in ARTICLES and words & HEADS and not of_article:
         return Mark("heads", window)
@@ -261,11 +265,12 @@ def _wraps(lines: list[Line]) -> set[int]:
             marks[id(mark)] = mark
             sizes[id(mark)] = sizes.get(id(mark), 0) + n
     may = {i for i, m in marks.items() if m.kind in ("form", "words", "heads")}
-    return {i for i in may if marks[i].holds or marks[i].kind != "heads" and 3 * sizes[i] > 2 * total}
+    least = 2 / 3 if any(line.article or line.main for line in lines if not line.marks) else 1 / 2
+    return {i for i in may if marks[i].holds or marks[i].kind != "heads" and sizes[i] > least * total}
 
 
-def runs_of(weights: np.ndarray, window: int, surge: int) -> list[tuple[int, int]]:
-    """From each rise to its dive (exclusive), where a whole window is 0 again, if there is a surge between."""
+def runs_of(weights: np.ndarray, window: int, surge: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """From each rise to its dive (exclusive), where a whole window is 0 again, if there is a surge between. joined: for each line whether it leaves runs around it joined."""
     if not len(weights):
         return []
     sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :]  # of lines i to i + window - 1
@@ -273,7 +278,13 @@ def runs_of(weights: np.ndarray, window: int, surge: int) -> list[tuple[int, int
     live = np.concatenate([[False], sums > 0, [False]])
     edges = np.flatnonzero(live[1:] != live[:-1]).reshape(-1, 2)
     rises = [s + int(np.flatnonzero(weights[s:])[0]) for s, _ in edges]  # windows reach the first weight before it
-    return [(rise, int(e)) for rise, (s, e) in zip(rises, edges) if sums[s:e].max() >= least]
+    runs, high = [(rise, int(e)) for rise, (_, e) in zip(rises, edges)], [sums[s:e].max() >= least for s, e in edges]
+    if joined is not None:
+        near = [joined[before[1] : after[0]].all() for before, after in zip(runs, runs[1:])]
+        for i in [*range(1, len(runs)), *range(len(runs) - 2, -1, -1)]:  # forwards, then backwards
+            other = i - 1 if i and high[i - 1] and near[i - 1] else i + 1 if i + 1 < len(runs) and high[i + 1] and near[i] else None
+            high[i] = high[i] or other is not None and bool(joined[runs[i][0] : runs[i][1]].any())
+    return [run for run, kept in zip(runs, high) if kept]
 
 
 def extract_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -291,9 +302,11 @@ def extract_text(html: str | None, window: int = WINDOW, surge: int = SURGE) ->
     for region in (np.array([line.article for line in lines], bool), np.array([line.main for line in lines], bool)):
         if own.any() and 2 * own[region].sum() >= own.sum():
             inside, surge = region, 1
+            own = np.array([len(line.text) for line in lines], np.int64)
             break
     own = np.where(inside, own, 0)
-    return "\n\n".join(lines[i].text for s, e in runs_of(own, window, surge) for i in range(s, e) if inside[i] and lines[i].text)
+    joined = np.array([line.gap or line.tag in PARAGRAPHS and n > 0 for line, n in zip(lines, own.tolist())], bool)
+    return "\n\n".join(lines[i].text for s, e in runs_of(own, window, surge, joined) for i in range(s, e) if inside[i] and lines[i].text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -80,14 +80,15 @@ def test_link_paragraphs_and_link_lists():
     menu = "".join(f"<li><a href='/{i}'>Entry number {i}</a></li>" for i in range(5))
     assert extract_text(f"<p>{LONG}</p>{link}<p>{LONG}</p>").count("one link") == 1
     assert extract_text(f"<p>{LONG}</p>{link}").endswith("nothing else")
-    for page in (f"<p>{LONG}</p><ul>{menu}</ul>", f"<article><p>{LONG}</p><ul>{menu}</ul></article>", f"<article><p>{LONG}</p><ul>{menu}</ul><p>x</p></article>"):
-        assert "Entry" not in extract_text(page)
+    assert extract_text(f"<p>{LONG}</p><ul>{menu}</ul>") == LONG
+    for page in (f"<article><p>{LONG}</p><ul>{menu}</ul></article>", f"<article><p>{LONG}</p><ul>{menu}</ul><p>x</p></article>"):
+        assert extract_text(page).count("Entry") == 5  # an article is kept whole
         assert LONG in extract_text(page)
 
 
 def test_the_window_decides():
     two = "".join(f"<li><a href='/{i}'>Entry number {i}</a></li>" for i in range(2))
-    page = f"<article><p>{LONG}</p><ul>{two}</ul><p>The end.</p></article>"
+    page = f"<div><p>{LONG}</p><ul>{two}</ul><p>The end.</p></div>"
     assert "Entry number 1" in extract_text(page) and "Entry number 1" not in extract_text(page, window=1)
     assert "Entry number 1" not in extract_text(page, window=2) and extract_text(page).endswith("The end.")
     small = f"<div>Label</div><div><a>x</a></div><div><a>x</a></div><div><a>x</a></div><p>{LONG}</p>"
@@ -124,3 +125,31 @@ def test_runs_equal_brute_force():
         window, surge = rng.choice([1, 2, 3, 5]), rng.choice([1, 30, 86, 500])
         found = [i for s, e in runs_of(np.array(weights, np.int64), window, surge) for i in range(s, e)]
         assert found == brute_runs(weights, window, surge)
+
+
+TEXT = "A sentence of the article that says something at length, as sentences of articles do. " * 3
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>linked item {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+def test_lists_of_links_inside_an_article_are_kept():
+    got = extract_text(f"<nav>{LINKS}</nav><article><h1>T</h1><p>{TEXT}</p>{LINKS}<p>End words.</p></article><footer>{LINKS}</footer>")
+    assert got.split("\n\n") == ["T", TEXT.strip(), *[f"linked item {i}" for i in range(6)], "End words."]
+
+
+def test_a_sidebar_does_not_end_the_text():
+    page = f"<h1>T</h1><p>{TEXT}</p><div class='sidebar'><p>{TEXT}</p></div><p>Short closing note.</p><footer><p>Imprint.</p></footer>"
+    assert extract_text(page).split("\n\n") == ["T", TEXT.strip(), "Short closing note."]
+    before = f"<p>Short opening note.</p><div class='sidebar'>{LINKS}</div><p>{TEXT}</p>"
+    assert extract_text(before).split("\n\n") == ["Short opening note.", TEXT.strip()]
+
+
+def test_names_of_articles_that_sound_like_comments():
+    assert extract_text(f"<article class='comment-article'><p>{TEXT}</p></article>") == TEXT.strip()
+    page = f"<article><p>{TEXT}</p></article><section class='comments'><article class='comment'><p>{TEXT}</p></article></section>"
+    assert extract_text(page) == TEXT.strip()
+
+
+def test_a_wrapper_with_most_of_the_text():
+    assert extract_text(f"<div class='privacy'><p>{TEXT}</p></div><p>{TEXT[:150].strip()}</p>").split("\n\n") == [TEXT.strip(), TEXT[:150].strip()]
+    # but not what stands beside a short article
+    assert extract_text(f"<div class='ad'>{TEXT[:86]}</div><article><h1>Some words.</h1><p>{TEXT[:60]}</p></article>") == f"Some words.\n\n{TEXT[:60].strip()}"
