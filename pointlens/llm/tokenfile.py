@@ -247,9 +247,9 @@ def write_tokens(
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .withColumn("_tie", F.xxhash64("_text"))
-        .repartitionByRange(n, "_id", "_tie")
-        .sortWithinPartitions("_id", "_tie")
+        .withColumns({"_tie": F.xxhash64("_text"), "_n": F.monotonically_increasing_id()})
+        .repartitionByRange(n, "_id", "_tie", "_n")  # a number of its own, so that equal rows can be split
+        .sortWithinPartitions("_id", "_tie", "_n")
         .select("_id", "_text")
     )
     schema = f"part int, block int, bits int, first long, n_tokens long, doc_ids array<{kind}>, doc_at array<int>, payload binary"

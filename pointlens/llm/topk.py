@@ -11,9 +11,8 @@ above with the same figures for their pages. A tree keeps its own covering radiu
 
 Searching: every query is searched in the tree of its own cell first, which gives it a k-th distance. It then meets only those
 trees whose root bound (distance to the pivot less the radius) passes that distance. Inside a tree each query has its own order, the
-node or page of least possible distance next, and its own reach, the present k-th distance. After OWN_STEPS of its own, what is still within
-its reach is visited together with the other queries that reach it, the least possible distance first. Of a node's pages only those are
-compared with a query whose stored distance to the node leaves room (|d(q, node) - d(page, node)| - radius within reach), and
+node or page of least possible distance next, until that passes its own reach, the present k-th distance; queries whose next one is the same are
+served together. Of a node's pages only those are compared with a query whose stored distance to the node leaves room (|d(q, node) - d(page, node)| - radius within reach), and
 likewise for the entries of a page. Scores are exact integers; a bound only skips what is farther than the k-th by more than rounding
 can explain.
 
@@ -40,7 +39,7 @@ from pointlens.sources.shared import spread
 TREE_ROWS = 1 << 14
 PAGE_ROWS = 128
 BLOCK_QUERIES = 256
-OWN_STEPS = 12  # nodes and pages that a query visits in its own order
+DEALT_PRODUCTS = 1 << 22  # distances to pivots that a task holds at once
 MOST_PIVOT_BYTES = 1 << 26  # of the pivots, which the driver collects and broadcasts
 RESULT = "query_id long, rank int, vec_id long, score long"
 _NONE = np.int64(-(1 << 62))
@@ -231,8 +230,8 @@ class Search:
         bounds = np.concatenate([self.node_d - tree["node_radius"], np.full((n, len(tree["centres"])), np.inf)], axis=1)  # each query's queue
         page_d = np.full((n, len(tree["centres"])), np.inf)
         live = np.arange(n)
-        for _ in range(OWN_STEPS):
-            nearest = bounds[live].argmin(axis=1) if len(live) else np.zeros(0, np.int64)
+        while len(live):
+            nearest = bounds[live].argmin(axis=1)
             least = bounds[live, nearest]
             go = np.isfinite(least) & (least <= self.reach[live])
             live, nearest = live[go], nearest[go]
@@ -240,12 +239,6 @@ class Search:
             order = np.argsort(nearest, kind="stable")
             for group in np.split(order, np.flatnonzero(np.diff(nearest[order])) + 1) if len(order) else []:
                 self._visit(int(nearest[group[0]]), live[group], bounds, page_d)
-        # what is still within reach of some queries, for all of them together
-        for those in (np.arange(n_nodes), n_nodes + np.arange(len(tree["centres"]))):
-            for what in those[np.argsort(bounds[:, those].min(axis=0, initial=np.inf), kind="stable")]:
-                live = np.flatnonzero(np.isfinite(bounds[:, what]) & (bounds[:, what] <= self.reach))
-                if len(live):
-                    self._visit(int(what), live, bounds, page_d)
         return self
 
     def _visit(self, what: int, live: np.ndarray, bounds: np.ndarray, page_d: np.ndarray) -> None:
@@ -265,14 +258,16 @@ def search_tree(tree: dict[str, np.ndarray], numbers: np.ndarray, queries: np.nd
 def _dealt(rows: DataFrame, pivots: np.ndarray, top: int) -> DataFrame:
     """Adds _cell, the nearest pivot, and _away, the distance to it."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    size = max(1, DEALT_PRODUCTS // max(1, len(pivots)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metric = Metric(top)
         for batch in batches:
-            if batch.num_rows:
-                d = metric.between(_matrix(batch.column("_vec"), shared.value.shape[1]), shared.value)
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                d = metric.between(_matrix(part.column("_vec"), shared.value.shape[1]), shared.value)
                 cell = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])], [*batch.schema.names, "_cell", "_away"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])], [*part.schema.names, "_cell", "_away"])
 
     return rows.mapInArrow(deal, "_id long, _vec array<long>, _row long, _cell int, _away double")
 

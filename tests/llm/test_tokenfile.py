@@ -69,3 +69,15 @@ def test_repeated_rows_and_empty_table(spark, tmp_path, library):
     assert [r[0] for r in found] == [0, 1, 1, 1] and [r[1] for r in found] == [0, 2, 4, 6]
     write_tokens(docs.limit(0), PATH, str(tmp_path / "b"), end_id=2)
     assert read_documents(spark, str(tmp_path / "b")).collect() == []
+
+
+def test_equal_rows_are_split(spark, tmp_path, library):
+    """A third of the rows are equal; no part holds over twice the mean."""
+    rows = [(i, f"text number {i}") for i in range(2000)] + [(700, "the same row")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "tokens")
+    write_tokens(docs, PATH, path, end_id=2, block_tokens=64)
+    sizes = [r.n for r in spark.read.parquet(path).selectExpr("part", "size(doc_ids) AS d").groupBy("part").agg({"d": "sum"}).withColumnRenamed("sum(d)", "n").collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 4 and max(sizes) <= 2 * 3000 / 4
+    found = read_documents(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
