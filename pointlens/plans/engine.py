@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
@@ -19,8 +20,9 @@ from pointlens.plans.baselines import BASELINES, baseline, baseline_entry, basel
 from pointlens.sources import store
 from pointlens.sources.boundaries import resolve
 from pointlens.sources.points import frame_signature, with_coordinates
-from pointlens.sources.shared import checkpoint, remove
+from pointlens.sources.shared import checkpoint, children, exists, remove
 
+STAGE = 16  # percentages that are staged together
 METHODS = ("all", "pixel", "random", "fps_threshold")
 PROPERTIES = ("statistical", "density", "topological")
 CURVE = ", ".join(
@@ -85,19 +87,46 @@ class Engine:
         return store.of_scope(found, scope.zoom, scope.state, scope.county).select("row_pos", "fps_rank")
 
     def build(self, scope: Scope, most: int = 100) -> None:
-        """Compute and keep a scope's curve up to a percentage: only the percentages that are not there yet, all if its points have changed."""
+        """Compute and keep a scope's curve up to a percentage: only the percentages that are not there yet, all if its points have changed.
+
+        Finished percentages are staged, so that a build that was stopped goes on with the others, and published together.
+        """
         wanted = set(configured(scope.zoom, most))
         kept = self._curve(scope) if self._is_valid(scope, "curves") else None
         missing = sorted(wanted - ({r.percentage for r in kept.select("percentage").collect()} if kept is not None else set()))  # a hundred at most
         if not missing:
             return
         names = {c: F.lit(v) for c, v in zip(store.SCOPE, (scope.zoom, scope.state, scope.county))}
-        own = in_scope(self.points, scope).withColumns(names)
-        fresh = curves.error_curve(own, scope.zoom, *store.SCOPE, percentages=missing, order=self.order(scope).withColumns(names))
+        stage = f"{self.path}/curves_staging/{self._digest(scope)}"
+        for batch in self._unstaged(stage, missing):
+            own = in_scope(self.points, scope).withColumns(names)
+            if not exists(self.spark, f"{stage}/whole/_SUCCESS"):
+                curves.whole_diagrams(own, *store.SCOPE).write.mode("overwrite").parquet(f"{stage}/whole")
+            whole = self.spark.read.parquet(f"{stage}/whole")
+            rows = curves.error_curve(own, scope.zoom, *store.SCOPE, percentages=batch, order=self.order(scope).withColumns(names), whole=whole)
+            rows.write.mode("overwrite").parquet(f"{stage}/rows-{batch[0]}-{batch[-1]}")
+        fresh = self.spark.read.schema(CURVE).parquet(*self._staged(stage))
         if kept is not None:
             fresh = checkpoint(curves.overlay(kept.withColumns(names), fresh, *store.SCOPE))  # its old folder is replaced
-        store.write_curve(fresh, f"{self.path}/curves")
+        store.write_curve(fresh, f"{self.path}/curves")  # readers see the old curve or the new one
         store.append(self._signature(scope), f"{self.path}/curves_manifest")
+        remove(self.spark, stage)
+
+    def _staged(self, stage: str) -> list[str]:
+        """Folders of a build that hold finished percentages."""
+        return [f"{stage}/{name}" for name in children(self.spark, stage) if name.startswith("rows-") and exists(self.spark, f"{stage}/{name}/_SUCCESS")]
+
+    def _unstaged(self, stage: str, wanted: list[int]) -> Iterator[list[int]]:
+        """The percentages that a build that was stopped has not finished, a few at a time."""
+        found = self._staged(stage)
+        done = {r.percentage for r in self.spark.read.schema(CURVE).parquet(*found).select("percentage").collect()} if found else set()  # a hundred at most
+        left = [p for p in wanted if p not in done]
+        return (left[i : i + STAGE] for i in range(0, len(left), STAGE))
+
+    def staged(self, scope: Scope) -> int:
+        """Percentages of a scope that a build under way has finished."""
+        found = self._staged(f"{self.path}/curves_staging/{self._digest(scope)}")
+        return self.spark.read.schema(CURVE).parquet(*found).count() if found else 0
 
     def ensure(self, scope: Scope, most: int = 100) -> DataFrame:
         """The scope's curve up to a percentage, built as far as it is missing."""

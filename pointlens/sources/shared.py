@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that is not there yet; False if it is. Of several writers one succeeds."""
+    place, system = _place(spark, path)
+    system.mkdirs(place.getParent())
+    try:
+        out = system.create(place, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    return True
+
+
+def overwrite(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file."""
+    place, system = _place(spark, path)
+    out = system.create(place, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if there is none."""
+    if not exists(spark, path):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df written to a new shared folder and read again, with the sizes that Spark then knows, and the folder, which the caller removes."""
     path = shared_dir(df.sparkSession)
