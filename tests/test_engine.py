@@ -57,7 +57,8 @@ def test_fps_order_by_one_task_and_by_all(spark, whole):
     assert small == large == few == want
 
 
-def test_fps_order_raises_at_its_limit(spark):
+def test_fps_order_raises_at_its_limit(spark, monkeypatch):
+    monkeypatch.setattr(fps, "FINISH_ROWS", 0)
     points, _ = cloud(spark, 70, 1)
     with pytest.raises(RuntimeError, match="of 70 points"):
         fps.order_distributed(points, 70, candidates=1, most_rounds=3)
