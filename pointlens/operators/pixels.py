@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 from pointlens.functions.columns import mercator_x, mercator_y
 from pointlens.sources.points import with_coordinates
-from pointlens.sources.shared import checkpoint, sized, spread
+from pointlens.sources.shared import checkpoint, shared_dir, sized, spread
 
 #: Marker radius and stroke width in pixels.
 MARKERS = {"country": (3.2, 0.6), "state": (4.2, 0.6), "county": (4.2, 0.6)}
 #: What a country view shows, in degrees: west, south, east, north.
 COUNTRY_BOUNDS = (-125.0, 24.0, -66.0, 49.8)
 TASK_ROWS = 200_000
+TILE = 64  # distances
+TILE_ROWS = 100_000  # points of a tile that a task decides on
 
 
 @dataclass(frozen=True)
@@ -127,29 +130,79 @@ def thin_in_memory(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def thin_distributed(points: DataFrame, distance: float, order: str = "row_pos", x: str = "px", y: str = "py") -> DataFrame:
+def thin_region(x: np.ndarray, y: np.ndarray, distance: float, box: tuple[float, float, float, float]) -> np.ndarray:
+    """For the points of a region, in order: 1 kept, 0 dropped, -1 open, as points outside (or open ones) could decide. box: west, east, south, north."""
+    bound = distance * distance
+    bound -= max(1e-15, bound * 1e-12)
+    cells: dict[tuple[int, int], tuple[list[tuple[float, float]], list[tuple[float, float]]]] = {}
+    out = np.empty(len(x), np.int8)
+    columns, rows = np.floor(x / distance).astype(np.int64).tolist(), np.floor(y / distance).astype(np.int64).tolist()
+    seen = ((x - box[0] > distance) & (box[1] - x > distance) & (y - box[2] > distance) & (box[3] - y > distance)).tolist()
+    for i, (a, b, c, r, whole) in enumerate(zip(x.tolist(), y.tolist(), columns, rows, seen)):
+        near = [cells[k] for k in ((c + dc, r + dr) for dc in (-1, 0, 1) for dr in (-1, 0, 1)) if k in cells]
+        if any((a - p) ** 2 + (b - q) ** 2 < bound for kept, _ in near for p, q in kept):
+            out[i] = 0
+            continue
+        sure = whole and not any((a - p) ** 2 + (b - q) ** 2 < bound for _, open_ in near for p, q in open_)
+        out[i] = 1 if sure else -1
+        cells.setdefault((c, r), ([], []))[0 if sure else 1].append((a, b))
+    return out
+
+
+def _thinner(side: float, shift: float, halo: float, distance: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def decide(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("o", kind="stable")
+        west, south = (k * side + shift - halo for k in key)
+        state = thin_region(f["x"].to_numpy(), f["y"].to_numpy(), distance, (west, west + side + 2 * halo, south, south + side + 2 * halo))
+        return f.assign(kept=state == 1)[state >= 0][["o", "x", "y", "kept"]]
+
+    return decide
+
+
+def thin_distributed(points: DataFrame, distance: float, order: str = "row_pos", x: str = "px", y: str = "py", tile: int = TILE, tile_rows: int = TILE_ROWS, rounds: list | None = None) -> DataFrame:
     """`order` of the kept points of one scope, with the result of thin_in_memory() but by all tasks together.
 
-    In each round a point is kept that comes first among the undecided ones of the 3 by 3 cells around it, and what is too near to a
-    kept point is dropped.
+    Tiles some distances wide, with two distances around them, decide in order until a point depends on one that the tile cannot see or has left open.
+    What is kept drops its neighbours everywhere, and further rounds, whose tiles lie elsewhere, go on: rounds follow chains of
+    tiles, not of points. Where tiles would hold too many points, a round decides cell by cell instead: of 3 by 3 cells the first open point is kept.
+    rounds: gets an entry for each round.
     """
-    rows = points.select(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = points.select(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if distance <= 0:
         return rows.select(F.col("o").alias(order))
+    spark, path, turn = points.sparkSession, shared_dir(points.sparkSession), 0
     bound = distance * distance - max(1e-15, distance * distance * 1e-12)
-    left = checkpoint(rows.withColumns({"cx": F.floor(F.col("x") / distance), "cy": F.floor(F.col("y") / distance)}))
-    around = lambda: F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    kept = left.select("o").limit(0)
+    kind = rows.schema["o"].dataType.simpleString()
+    left = checkpoint(rows)
+    rows.limit(0).select("o").write.parquet(path)
+    cell = lambda c, side=distance, shift=0.0: F.floor((F.col(c) - shift) / side)
+    around = lambda: F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     while not left.isEmpty():
-        first = left.groupBy("cx", "cy").agg(F.min("o").alias("o"))
-        lowest = first.select(around().alias("at"), "o").groupBy("at.cx", "at.cy").agg(F.min("o").alias("least"))
-        winners = checkpoint(left.join(first.join(lowest, ["cx", "cy"]).where("o = least").select("o"), "o").select("o", "x", "y", "cx", "cy"))
-        kept = checkpoint(kept.unionByName(winners.select("o")))
-        shade = winners.select(F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("o").alias("ko"), around().alias("at")).select("kx", "ky", "ko", "at.cx", "at.cy")
+        side = distance * tile
+        while side > 4 * distance and left.groupBy(cell("x", side), cell("y", side)).count().agg(F.max("count")).first()[0] > tile_rows:
+            side /= 2
+        shift, halo = side / 2 * (turn % 2), 2 * distance
+        if side > 4 * distance:
+            reach = lambda c: F.explode(F.sequence(cell(c, side, shift + halo * (1 + 1e-9)), cell(c, side, shift - halo * (1 + 1e-9))))
+            regions = left.withColumn("cx", reach("x")).withColumn("cy", reach("y"))
+            schema = f"o {kind}, x double, y double, kept boolean"
+            decide = _thinner(side, shift, halo, distance)
+            decided = checkpoint(spread(regions, "cx", "cy").groupBy("cx", "cy").applyInPandas(decide, schema).distinct())  # as one task or another sees them
+        else:
+            celled = left.withColumns({"cx": cell("x"), "cy": cell("y")})
+            first = celled.groupBy("cx", "cy").agg(F.min_by(F.struct("o", "x", "y"), "o").alias("p")).select("cx", "cy", "p.*")
+            lowest = first.select(around().alias("at"), "o").groupBy("at.cx", "at.cy").agg(F.min("o").alias("least"))
+            decided = checkpoint(first.join(lowest, ["cx", "cy"]).where("o = least").select("o", "x", "y", F.lit(True).alias("kept")))
+        winners = decided.where("kept")
+        winners.select("o").write.mode("append").parquet(path)
+        shade = winners.select(F.col("x").alias("kx"), F.col("y").alias("ky"), around().alias("at")).select("kx", "ky", "at.cx", "at.cy")
         near = (F.col("x") - F.col("kx")) ** 2 + (F.col("y") - F.col("ky")) ** 2 < bound
-        gone = left.join(shade, ["cx", "cy"]).where(near | (F.col("o") == F.col("ko"))).select("o")
-        left = checkpoint(left.join(gone, "o", "left_anti"))
-    return kept.select(F.col("o").alias(order))
+        gone = left.withColumns({"cx": cell("x"), "cy": cell("y")}).join(shade, ["cx", "cy"]).where(near).select("o")
+        left = checkpoint(left.join(decided.select("o").unionByName(gone), "o", "left_anti"))
+        turn += 1
+        if rounds is not None:
+            rounds.append(side)
+    return spark.read.schema(f"o {kind}").parquet(path).select(F.col("o").alias(order))
 
 
 def thin(points: DataFrame, distance: float, *by: str, order: str = "row_pos", x: str = "px", y: str = "py", task_rows: int = TASK_ROWS) -> DataFrame:
