@@ -14,7 +14,7 @@ from pointlens.operators import curves, density, geometry, statistics
 from pointlens.operators.fps import fps_order
 from pointlens.operators.pixels import Viewport, pixel_sample
 from pointlens.operators.sampling import PERCENTAGES, configured, keyed_sample, random_sample
-from pointlens.operators.scope import Scope, all_scopes, counts, county_labels, coverage, in_scope
+from pointlens.operators.scope import Scope, all_scopes, by_zoom, counts, county_labels, coverage, in_scope
 from pointlens.operators.topology import METRICS, diagrams, with_distances
 from pointlens.plans.baselines import BASELINES, baseline, baseline_entry, baseline_sample
 from pointlens.sources import store
@@ -133,6 +133,25 @@ class Engine:
         self.build(scope, most)
         return self._curve(scope).where(F.col("percentage") <= most)
 
+    def changes(self, table: str = "curves") -> DataFrame:
+        """zoom, state, county, change of every scope with points or a kept table: new (nothing is kept), same, changed, or gone (no points are left).
+
+        All scopes' signatures come from one reading of the points and are compared with the latest ones of the manifest.
+        """
+        kept = store.latest(store.read_or_empty(self.spark, f"{self.path}/{table}_manifest", MANIFEST), *store.SCOPE)
+        figures = ("n_rows", "first_id", "last_id", "content_hash")
+        before = kept.select(*store.SCOPE, F.struct(*figures).alias("_before"))
+        now = frame_signature(by_zoom(self.points), *store.SCOPE).select(*store.SCOPE, F.struct(*figures).alias("_now"))
+        change = F.when(F.col("_before").isNull(), "new").when(F.col("_now").isNull(), "gone").when(F.col("_before") == F.col("_now"), "same").otherwise("changed")
+        return now.join(before, list(store.SCOPE), "full").select(*store.SCOPE, change.alias("change"))
+
+    def refresh(self) -> list[Scope]:
+        """Build the kept curves of changed scopes again, as far as they went, and no others."""
+        stale = [Scope(r.zoom, r.state, r.county) for r in self.changes().where("change = 'changed'").orderBy(*store.SCOPE).collect()]  # of those that were built
+        for scope in stale:
+            self.build(scope, self._curve(scope).agg(F.max("percentage")).first()[0] or 100)
+        return stale
+
     def status(self, scope: Scope) -> DataFrame:
         """One row: what is there of a scope's curve."""
         own = counts(in_scope(self.points, scope)).select("exact_count")
