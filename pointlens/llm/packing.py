@@ -29,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointlens.llm.bpe import SLICE_BYTES, BpeModel, Encoder
+from pointlens.llm.bpe import BpeModel, Encoder
 from pointlens.llm.common import checkpoint, small, text_slices
 
 CAPACITY = 2048
+SLICE_BYTES = 1 << 23  # of text that is encoded at once; its different pieces are looked up once
 ENOUGH = 0.02  # share of ids left over at which the linear program may end
 PIVOTS = 2  # most pivots for each length
 COLUMNS = 128  # most new columns of a pricing round
