@@ -38,7 +38,7 @@ from pointlens.sources.shared import spread
 
 TREE_ROWS = 1 << 14
 PAGE_ROWS = 128
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 1 << 11  # a visit of a page serves all queries of a block whose next one it is, so larger blocks share more visits
 DEALT_PRODUCTS = 1 << 22  # distances to pivots that a task holds at once
 MOST_PIVOT_BYTES = 1 << 26  # of the pivots, which the driver collects and broadcasts
 RESULT = "query_id long, rank int, vec_id long, score long"
@@ -163,6 +163,9 @@ class Search:
     def __init__(self, tree: dict[str, np.ndarray], queries: np.ndarray, k: int, top: int, numbers: np.ndarray, kth: np.ndarray | None = None):
         self.tree, self.metric, self.numbers = tree, Metric(top), numbers
         self.queries = queries.astype(np.int64)
+        self.centres, self.rows = tree["centres"].astype(np.int64), tree["rows"]
+        if _fits(self.queries, self.centres) and _fits(self.queries, self.rows):  # doubles from here on: sums are exact
+            self.queries, self.centres, self.rows = (x.astype(np.float64) for x in (self.queries, self.centres, self.rows))
         self.norms = (queries.astype(np.float64) ** 2).sum(axis=1)
         n = len(queries)
         self.best, self.best_ids = np.full((n, k), _NONE), np.full((n, k), np.iinfo(np.int64).max)
@@ -171,16 +174,16 @@ class Search:
         self.work = 0  # inner products
 
     def _products(self, live: np.ndarray, objects: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Inner products of the wanted pairs, _NONE elsewhere; all pairs at once if most are wanted."""
-        if 2 * wanted.sum() > wanted.size:
+        """Inner products of the wanted pairs, _NONE elsewhere; all pairs at once if most are wanted. Objects and queries are of one type."""
+        a, b = self.queries[live], objects.astype(self.queries.dtype, copy=False)
+        n = np.count_nonzero(wanted)
+        if 2 * n > wanted.size:
             self.work += wanted.size
-            return np.where(wanted, _dots(self.queries[live], objects), _NONE)
+            dots = (a @ b.T).astype(np.int64)
+            return dots if n == wanted.size else np.where(wanted, dots, _NONE)
         out = np.full(wanted.shape, _NONE)
         of_query, of_object = np.nonzero(wanted)
         self.work += len(of_query)
-        a, b = self.queries[live], objects.astype(np.int64)
-        if _fits(a, b):
-            a, b = a.astype(np.float64), b.astype(np.float64)
         for i in range(0, len(of_query), 1 << 15):
             q, o = of_query[i : i + (1 << 15)], of_object[i : i + (1 << 15)]
             out[q, o] = np.einsum("ij,ij->i", a[q], b[o]).astype(np.int64)
@@ -195,7 +198,7 @@ class Search:
         if not len(used):
             return
         pages, wanted = pages[used], wanted[:, used]
-        d = self.metric.to_query(self.norms[live], np.where(wanted, self._products(live, tree["centres"][pages], wanted), 0))
+        d = self.metric.to_query(self.norms[live], np.where(wanted, self._products(live, self.centres[pages], wanted), 0))
         y, x = np.nonzero(wanted)
         page_d[live[y], pages[x]] = d[y, x]
         bounds[live[y], n_nodes + pages[x]] = d[y, x] - tree["radius"][pages[x]]
@@ -205,21 +208,26 @@ class Search:
         start, end = tree["page_at"][page], tree["page_at"][page + 1]
         wanted = np.abs(page_d[live, page][:, None] - tree["away"][start:end]) <= self.reach[live][:, None]
         wanted &= tree["numbers"][start:end] != self.numbers[live][:, None]
-        used = np.flatnonzero(wanted.any(axis=0))
-        if not len(used):
-            return
-        ids = tree["ids"][start:end][used]
-        scores = self._products(live, tree["rows"][start:end][used], wanted[:, used])
-        enters = (scores > _NONE) & (scores >= np.maximum(self.best[live, -1], self.floor[live])[:, None])
-        rows, columns = np.flatnonzero(enters.any(axis=1)), np.flatnonzero(enters.any(axis=0))
-        if not len(rows):
+        ids, objects = tree["ids"][start:end], self.rows[start:end]
+        used = wanted.any(axis=0)
+        if not used.all():
+            if not used.any():
+                return
+            ids, objects, wanted = ids[used], objects[used], wanted[:, used]
+        scores = self._products(live, objects, wanted)
+        y, x = np.nonzero(scores >= np.maximum(np.maximum(self.best[live, -1], self.floor[live]), _NONE + 1)[:, None])
+        if not len(y):
             return
-        mine = live[rows]
-        found = np.where(enters, scores, _NONE)[np.ix_(rows, columns)]
-        all_scores = np.concatenate([self.best[mine], found], axis=1)
-        all_ids = np.concatenate([self.best_ids[mine], np.where(found > _NONE, ids[columns], np.iinfo(np.int64).max)], axis=1)
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.best.shape[1]]
-        self.best[mine], self.best_ids[mine] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+        # what enters, beside the best so far of the same queries; they are sorted by query, score and id, and each query keeps its first k
+        mine, of = np.unique(y, return_inverse=True)
+        mine, k = live[mine], self.best.shape[1]
+        all_of = np.concatenate([np.repeat(np.arange(len(mine)), k), of])
+        all_scores = np.concatenate([self.best[mine].ravel(), scores[y, x]])
+        all_ids = np.concatenate([self.best_ids[mine].ravel(), ids[x]])
+        order = np.lexsort((all_ids, -all_scores, all_of))
+        starts = np.arange(len(mine)) * k + np.concatenate([[0], np.cumsum(np.bincount(of))[:-1]])
+        first = order[(starts[:, None] + np.arange(k)).ravel()]
+        self.best[mine], self.best_ids[mine] = all_scores[first].reshape(-1, k), all_ids[first].reshape(-1, k)
         self.reach[mine] = self.metric.reach(self.norms[mine], np.maximum(self.best[mine, -1], self.floor[mine]))
 
     def run(self) -> Search:

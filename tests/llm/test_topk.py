@@ -67,3 +67,19 @@ def test_query_spares_work_on_clustered_vectors(spark, monkeypatch):
     found = sorted(tuple(r) for r in top_k(vectors, F.col("_id") % 20 == 0, 5, counter=counter).collect())
     assert found == brute(rows, 5)
     assert 0 < counter.value < 0.5 * 100 * 2000  # inner products of brute force
+
+
+def test_queries_share_visits(monkeypatch):
+    """A visit of a page serves all queries whose next page it is, so that visits grow with pages and not with queries."""
+    rng = np.random.default_rng(6)
+    rows = rng.integers(-40, 40, (4096, 16))
+    top, visits, visit = int((rows**2).sum(axis=1).max()), [], topk.Search._visit_page
+    tree = topk.build_tree(np.arange(4096), rows, top)
+    monkeypatch.setattr(topk.Search, "_visit_page", lambda self, *a: visits.append(1) or visit(self, *a))
+    for start in range(0, 1024, topk.BLOCK_QUERIES):
+        of = np.arange(start, min(1024, start + topk.BLOCK_QUERIES))
+        scores, ids, _ = topk.search_tree(tree, of, rows[of], 5, top)
+        dots = rows[of] @ rows.T
+        dots[np.arange(len(of)), of] = topk._NONE
+        assert [list(zip(s, i)) for s, i in zip(scores[:20].tolist(), ids[:20].tolist())] == [sorted(((int(d), k) for k, d in enumerate(r)), key=lambda x: (-x[0], x[1]))[:5] for r in dots[:20].tolist()]
+    assert len(visits) < 1024 * len(tree["centres"]) / 8
