@@ -1,7 +1,8 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
 Two texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are the connected
-components of that. No distance of SimHash fingerprints covers a similarity for certain, so candidates come from prefixes instead: sets
+components of that. Candidates come from SimHash first (fingerprints of the sets, linked as in simhash.links) and are verified; no distance of
+fingerprints covers a similarity for certain, so the rest come from prefixes: sets
 of n shingles are put into one order, and two similar ones must share one of their first n - ceil(0.8 n) + 1. The order
 (any one is exact) has shingles that many texts of a sample hold last, so that a passage in many texts is rarely a key.
 
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointlens.llm import simhash
 from pointlens.llm.common import checkpoint, small, text_slices
 from pointlens.llm.graph import connected_components
 from pointlens.llm.simhash import SEED, SLICE_BYTES, one_of_each
@@ -70,6 +72,12 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def simhash_of(tokens: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles: bits that are set in over half of them."""
+    ones = np.unpackbits(tokens.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(tokens)).view(">i8")[0])
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("_text"))
 
@@ -102,7 +110,7 @@ def common_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def keyed_rows(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """_id, _hash, _fp (names the set), n, bits, keys for each row."""
+    """_id, _hash, _fp (names the set), n, sim (its SimHash fingerprint), bits, keys for each row."""
     kind = rows.schema["_id"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
@@ -113,11 +121,11 @@ def keyed_rows(rows: DataFrame, common: np.ndarray) -> DataFrame:
                 found = [shingles(t) for t in texts.to_pylist()]
                 names = np.fromiter((xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found), np.uint64, len(found)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_hash"), pa.array(names), pa.array([len(f) for f in found], pa.int32()), _lists([sketch(f) for f in found]), _lists([prefix(f, last) for f in found])],
-                    ["_id", "_hash", "_fp", "n", "bits", "keys"],
+                    [part.column("_id"), part.column("_hash"), pa.array(names), pa.array([len(f) for f in found], pa.int32()), pa.array([simhash_of(f) for f in found], pa.int64()), _lists([sketch(f) for f in found]), _lists([prefix(f, last) for f in found])],
+                    ["_id", "_hash", "_fp", "n", "sim", "bits", "keys"],
                 )
 
-    return rows.mapInArrow(each, f"_id {kind}, _hash long, _fp long, n int, bits array<long>, keys array<long>")
+    return rows.mapInArrow(each, f"_id {kind}, _hash long, _fp long, n int, sim long, bits array<long>, keys array<long>")
 
 
 def _sizes_match() -> Column:
@@ -170,7 +178,7 @@ def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """u, v: pairs of similar sets, enough of them to hold every group together. rows: of keyed_rows; docs: _id, _hash, _text."""
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
-    one = checkpoint(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")))
+    one = checkpoint(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("doc"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bits").alias("bits"), F.count("*").alias("copies")))
     copies = rows.select("_id", "_hash", "_fp").join(one.where("copies > 1").select("fp", "doc"), F.col("_fp") == F.col("fp")).where(order > F.col("doc"))
     copies = checkpoint(copies.select(F.col("_id").alias("i"), F.col("_hash").alias("h")).distinct())
     keyed = rows.join(small(copies), _same_row("i", "h"), "left_anti").select(F.col("_fp").alias("fp"), "n", F.posexplode("keys").alias("pos", "key"))
@@ -178,8 +186,16 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     shared = checkpoint(keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).where("hub < other").select(F.col("key").alias("k"), "hub"))
     held = checkpoint(keyed.join(shared, F.col("key") == F.col("k")).select("key", "fp", "hub", "n", "pos"))
 
+    # SimHash: sets of equal fingerprints with the least of them, and those least ones of linked fingerprints with each other
+    named = checkpoint(one.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = one.join(named.withColumnRenamed("sim", "s"), F.col("sim") == F.col("s")).where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    end = lambda x: named.select(F.col("sim").alias(f"s{x}"), F.col("least").alias(f"l{x}"))
+    linked = simhash.links(named.select(F.col("sim").alias("fp"))).join(end("u"), F.col("u") == F.col("su")).join(end("v"), F.col("v") == F.col("sv"))
+    by_simhash = same.unionByName(linked.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+
     # every set with one hub of those it shares a key with, then those of a key that are in different groups yet
-    edges = _verified(held.groupBy(F.col("fp").alias("u")).agg(F.min("hub").alias("v")).where("u <> v"), one, docs)
+    hubs = held.groupBy(F.col("fp").alias("u")).agg(F.min("hub").alias("v")).where("u <> v")
+    edges = _verified(by_simhash.unionByName(hubs), one, docs)
     found = connected_components(edges)
     now = held.join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "pos", F.coalesce("component", "fp").alias("group"))
     mixed = checkpoint(now.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select(F.col("key").alias("k")))

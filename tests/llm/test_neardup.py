@@ -2,7 +2,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from pointlens.llm import neardup
+from pyspark.sql import functions as F
+
+from pointlens.llm import neardup, simhash
 
 
 def slow_set(text):
@@ -107,3 +109,16 @@ def test_texts_that_share_a_frame_do_not_meet(spark, monkeypatch):
     rows = [(i, " ".join([*frame, f"a{i}", f"b{i}"])) for i in range(2000)]
     assert len(kept(spark, rows)) == 2000
     assert pairs[0] <= 20 * 2000
+
+
+def test_simhash_brings_candidates(spark, monkeypatch):
+    """Fingerprints are SimHash's own, and sets that they link are compared, similar or not; only similar ones fall together."""
+    text = b" ".join(b"w%d" % i for i in range(90))
+    assert simhash.fingerprint(text, 5) == neardup.simhash_of(neardup.shingles(text)) % (1 << 64)
+    asked, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: asked.append({frozenset(r) for r in pairs.select("u", "v").collect()}) or verified(pairs, *a))
+    plain = neardup.keyed_rows
+    monkeypatch.setattr(neardup, "keyed_rows", lambda *a: plain(*a).withColumn("sim", F.lit(0).cast("long")))  # all linked, though no shingle is shared
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (3, "m n o p q r")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == [1, 2, 3]
+    assert len(asked[0]) == 2
